@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import common, language, quality
+from larkspur.llm import common, language, ngram_join, quality
 
 QUALITY_CUT = 0.7
 
@@ -32,6 +32,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows.drop("lang"), model).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    linked = ngram_join.link(rows, ngram_join.Threshold(words=3, under=90, over=100))
+    return linked.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.only(table(spark, sf_dir, "documents"), "doc_id", "text")
     network = quality.train(labelled(spark, sf_dir, "quality"))
@@ -40,8 +46,25 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
 }
 
 #: Queries that SQL can express; the others are tested against brute force, round trips or held-out accuracy.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_join": r"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingled AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[][]) WHEN len(w) < 3 THEN [w]
+                   ELSE list_distinct([[w[i], w[i + 1], w[i + 2]] FOR i IN range(1, len(w) - 1)]) END AS s FROM worded),
+        sized AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, s FROM shingled),
+        flat AS (SELECT doc_id, n, unnest(s) AS g FROM sized),
+        pairs AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS met, any_value(a.n) AS nx, any_value(b.n) AS ny
+            FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY 1, 2),
+        links AS (SELECT x, y FROM pairs WHERE 100 * met >= 90 * (nx + ny - met)),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+        SELECT d.doc_id, d.n AS n_shingles, m.component_id
+        FROM sized d JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY 1) m ON m.x = d.doc_id""",
+}
