@@ -36,27 +36,23 @@ class Settings:
     clean_weight: float = 2.0
     seed: int = 7
 
+    @property
+    def shape(self) -> bytecnn.Shape:
+        return bytecnn.Shape(classes=2, window=self.window, widths=self.widths, filters=self.filters)
 
-def train(rows: DataFrame, settings: Settings = Settings(), *, text: str = "text", label: str = "quality") -> bytecnn.Network | None:
-    """Learn from rows whose label is 0 or 1; other rows are passed over."""
-    usable = rows.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    usable = usable.withColumn("key", sampling.order_key(F.col("text")))
-    shape = bytecnn.Shape(classes=2, window=settings.window, widths=settings.widths, filters=settings.filters)
-    labels: list = []
-    windows: list[list[bytes]] = []
-    for value in (0, 1):
-        own, cut = sampling.gather(usable.where(F.col("label") == value), "key", "label", "text", shape, windows=settings.windows, rows_most=settings.per_class)
-        if not own:
-            return None
-        labels += own
-        windows += cut
-    more_labels, more = sampling.crops(labels, windows, settings.seed)
-    target = np.array(labels + more_labels)
-    x, first = sampling.matrix(windows + more, shape)
-    weight = np.where(np.arange(len(target)) < len(labels), 1.0, settings.crop_weight)
+
+def train(rows: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, id: str = "doc_id", text: str = "text", label: str = "quality") -> bytecnn.Network | None:
+    """Learn from rows whose label in the table `labels` (id, label) is 0 or 1; other labels are passed over."""
+    found, windows = sampling.labelled_windows(rows, labels, id, text, label, settings.per_class, settings.windows, settings.shape)
+    if len(set(found)) < 2:
+        return None
+    more_labels, more = sampling.crops(found, windows, settings.seed)
+    target = np.array(found + more_labels)
+    x, first = sampling.matrix(windows + more, settings.shape)
+    weight = np.where(np.arange(len(target)) < len(found), 1.0, settings.crop_weight)
     weight /= np.bincount(target, weight, 2)[target]
     weight = np.where(target == 1, settings.clean_weight, 1.0) * weight
-    return bytecnn.Network.fresh(shape, settings.seed).fit(x, first, target, weight, epochs=settings.epochs, batch=32, rate=0.01, decay=1e-4, seed=settings.seed)
+    return bytecnn.Network.fresh(settings.shape, settings.seed).fit(x, first, target, weight, epochs=settings.epochs, batch=32, rate=0.01, decay=1e-4, seed=settings.seed)
 
 
 def score(rows: DataFrame, network: bytecnn.Network | None, *, text: str = "text", score_out: str = "score") -> DataFrame:

@@ -20,10 +20,10 @@ def held_out(modulus: int, value: int):
     return (common.remainder(F.col("doc_id"), modulus) == value).alias("held_out")
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """The texts that labels may be learned from."""
-    labels = common.only(table(spark, sf_dir, "labels"), "doc_id", label).where(common.remainder(F.col("doc_id"), 4) != 2).where(F.col(label).isNotNull())
-    return common.only(table(spark, sf_dir, "documents"), "doc_id", "text").join(labels, "doc_id")
+def learnable(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """The labels that may be learned from."""
+    labels = common.only(table(spark, sf_dir, "labels"), "doc_id", label)
+    return labels.where(common.remainder(F.col("doc_id"), 4) != 2)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.only(table(spark, sf_dir, "documents"), "doc_id", "text")
-    network = quality.train(labelled(spark, sf_dir, "quality"))
+    network = quality.train(rows, learnable(spark, sf_dir, "quality"))
     return quality.score(rows, network).select("doc_id", held_out(4, 2), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 

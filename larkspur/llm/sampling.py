@@ -46,6 +46,21 @@ def gather(rows: DataFrame, key: str, label: str, text: str, shape: bytecnn.Shap
     return [r[label] for r in held], [[bytes(w) for w in r["windows"]] for r in held]
 
 
+def labelled_ids(labels: DataFrame, id: str, label: str, per_class: int) -> DataFrame:
+    """(id, label) of at most per_class ids of each of the labels 0 and 1, those with the lowest keys."""
+    rows = labels.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).distinct()
+    keyed = rows.withColumn("key", order_key(F.col("id")))
+    picked = [keyed.where(F.col("label") == value).orderBy("key", "id").limit(per_class) for value in (0, 1)]
+    return picked[0].unionAll(picked[1]).drop("key")
+
+
+def labelled_windows(rows: DataFrame, labels: DataFrame, id: str, text: str, label: str, per_class: int, windows: int, shape: bytecnn.Shape) -> tuple[list[int], list[list[bytes]]]:
+    """Windows of the rows of a bounded sample of labels; the ids go to the rows, so that no text is moved."""
+    ids = F.broadcast(labelled_ids(labels, id, label, per_class))
+    held = rows.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(ids, "id")
+    return gather(held.withColumn("key", order_key(F.col("id"), F.col("text"))), "key", "label", "text", shape, windows=windows, rows_most=2 * per_class)
+
+
 def crops(labels: list, windows: list[list[bytes]], seed: int, least: int = 12, most: int = 160) -> tuple[list, list[list[bytes]]]:
     """One short cut of each row, starting and ending at a space where there is one: short texts are rare in a sample."""
     rng, more_labels, more = np.random.default_rng(seed), [], []
