@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import common, language, ngram_join, quality
+from larkspur.llm import common, language, ngram_join, quality, toxicity
 
 QUALITY_CUT = 0.7
+TOXIC_CUT = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +45,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(rows, network).select("doc_id", held_out(4, 2), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    lexicon = toxicity.train(rows, learnable(spark, sf_dir, "toxic"))
+    return toxicity.score(rows, lexicon).select("doc_id", held_out(4, 2), "score", (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
+    "op8_toxicity": op8_toxicity,
 }
 
 #: Queries that SQL can express; the others are tested against brute force, round trips or held-out accuracy.
