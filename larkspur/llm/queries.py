@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import common, language, ngram_join, quality, toxicity
+from larkspur.llm import common, language, ngram_join, packing, quality, sharding, toxicity
 
 QUALITY_CUT = 0.7
 TOXIC_CUT = 0.3
 
 
+#: Files of public tokenizers; they are read where they are installed.
+VOCABULARY = "word_bpe_49k.json"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,17 +49,33 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(rows, network).select("doc_id", held_out(4, 2), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = common.only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    packed = packing.pack(packing.pieces(rows, public_tokenizers.path(VOCABULARY)))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.only(table(spark, sf_dir, "documents"), "doc_id", "text")
     lexicon = toxicity.train(rows, learnable(spark, sf_dir, "toxic"))
     return toxicity.score(rows, lexicon).select("doc_id", held_out(4, 2), "score", (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.only(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+    placed = sharding.shard(rows, 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
+    "op7_best_fit": op7_best_fit,
     "op8_toxicity": op8_toxicity,
+    "op10_sharding": op10_sharding,
 }
 
 #: Queries that SQL can express; the others are tested against brute force, round trips or held-out accuracy.
