@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import common, language, ngram_join, packing, quality, sharding, toxicity
+from larkspur.llm import common, language, ngram_join, packing, quality, sharding, topk, toxicity, vector_join
 
 QUALITY_CUT = 0.7
 TOXIC_CUT = 0.3
@@ -37,6 +37,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows.drop("lang"), model).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.only(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    found = topk.top_k(rows, F.col("id") % 50 == 0, 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.only(table(spark, sf_dir, "documents"), "doc_id", "text")
     linked = ngram_join.link(rows, ngram_join.Threshold(words=3, under=90, over=100))
@@ -63,6 +69,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(rows, lexicon).select("doc_id", held_out(4, 2), "score", (F.col("score") >= TOXIC_CUT).cast("int").alias("predicted"))
 
 
+def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.only(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    linked = vector_join.link(rows, 0.93)
+    return linked.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.only(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
     placed = sharding.shard(rows, 40)
@@ -71,15 +83,38 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_top_k": op3_top_k,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
     "op7_best_fit": op7_best_fit,
     "op8_toxicity": op8_toxicity,
+    "op9_vector_join": op9_vector_join,
     "op10_sharding": op10_sharding,
 }
 
 #: Queries that SQL can express; the others are tested against brute force, round trips or held-out accuracy.
 ORACLE_SQL: dict[str, str] = {
+    "op3_top_k": r"""
+        WITH able AS (
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, len(q.v) + 1)]) AS BIGINT) AS score
+            FROM able q JOIN able c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5""",
+    "op9_vector_join": r"""
+        WITH RECURSIVE able AS (
+            SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+        links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.93),
+        reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+        least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1),
+        counted AS (SELECT x, count(*) AS n FROM links GROUP BY 1)
+        SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+        FROM embeddings e JOIN least m ON m.x = e.vec_id LEFT JOIN counted c ON c.x = e.vec_id""",
     "op5_ngram_join": r"""
         WITH RECURSIVE worded AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
