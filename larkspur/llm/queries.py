@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import common, language, ngram_join, packing, quality, sharding, topk, toxicity, vector_join
+from larkspur.llm import common, language, lm, ngram_join, packing, quality, sharding, topk, toxicity, vector_join
 
 QUALITY_CUT = 0.7
 TOXIC_CUT = 0.3
@@ -43,6 +43,12 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = lm.score(rows, common.remainder(F.col("doc_id"), 5) != 1)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.only(table(spark, sf_dir, "documents"), "doc_id", "text")
     linked = ngram_join.link(rows, ngram_join.Threshold(words=3, under=90, over=100))
@@ -84,6 +90,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_top_k": op3_top_k,
+    "op4_lm_score": op4_lm_score,
     "op5_ngram_join": op5_ngram_join,
     "op6_quality": op6_quality,
     "op7_best_fit": op7_best_fit,
