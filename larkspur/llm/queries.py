@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import common, language, lm, ngram_join, packing, quality, sharding, topk, toxicity, vector_join
+from larkspur.llm import common, language, lm, ngram_join, packing, quality, sentencepieces, sharding, topk, toxicity, vector_join
 
 QUALITY_CUT = 0.7
 TOXIC_CUT = 0.3
@@ -15,6 +15,7 @@ TOXIC_CUT = 0.3
 
 #: Files of public tokenizers; they are read where they are installed.
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,13 @@ def learnable(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return labels.where(common.remainder(F.col("doc_id"), 4) != 2)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = common.only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return sentencepieces.digests(rows, public_tokenizers.path(PIECES))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.only(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     model = language.train(rows.where(common.remainder(F.col("doc_id"), 4) != 2))
@@ -88,6 +96,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_language_id": op2_language_id,
     "op3_top_k": op3_top_k,
     "op4_lm_score": op4_lm_score,
