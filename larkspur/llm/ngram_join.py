@@ -29,16 +29,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import words
-from larkspur.llm.common import materialise, ship_package
+from larkspur.llm.common import drop_table, materialise, ship_package
 from larkspur.llm.components import components
 
 BUCKETS = 1 << 20
 CHUNK = 1 << 14
 NEVER = -1
+#: Rows of five longs that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -125,27 +127,35 @@ def profiles(rows: DataFrame, id: str, text: str, rule: Threshold) -> DataFrame:
 
 
 def whole_sets(rows: DataFrame, id: str, text: str, wanted: DataFrame, size: int) -> DataFrame:
-    """(cid, shingles) of the wanted classes (cid, id, k1, k2), from the texts of the rows that stand for them."""
+    """(cid, shingles) of the wanted classes (cid, id, k1, k2), from the texts of the rows that stand for them.
+
+    Up to BROADCAST_ROWS of them are sent to the texts; beyond that both sides are shuffled.
+    A class may come more than once where its row is repeated.
+    """
     picked = rows.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    held = picked.join(wanted, picked["id"].eqNullSafe(wanted["id"])).select("cid", "k1", "k2", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = picked.join(F.broadcast(wanted) if few else wanted, picked["id"].eqNullSafe(wanted["id"])).select("cid", "k1", "k2", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def read(batches):
+        seen = set()
         for batch in batches:
             cids, sets = [], []
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             for i, own in words.shingle_sets(batch.column(3).to_pylist(), size):
-                if set_key(own) == keys[i][1:]:
+                if keys[i][0] not in seen and set_key(own) == keys[i][1:]:
+                    seen.add(keys[i][0])
                     cids.append(keys[i][0])
                     sets.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
-    return held.mapInArrow(read, "cid long, shingles binary").groupBy("cid").agg(F.min("shingles").alias("shingles"))
+    return held.mapInArrow(read, "cid long, shingles binary")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, id: str, text: str, rule: Threshold) -> DataFrame:
     """Those of the pairs (a, b) of classes whose whole sets link."""
     wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = materialise(whole_sets(rows, id, text, classes.join(wanted, "cid").select("cid", "id", "k1", "k2"), rule.words), "sets")
+    wanted = materialise(classes.select("cid", "id", "k1", "k2").join(wanted, "cid"), "wanted")
+    sets = materialise(whole_sets(rows, id, text, wanted, rule.words), "sets")
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
 
@@ -160,7 +170,9 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, id: str, tex
                 keep.append(rule.over * both >= rule.under * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    found = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
+    drop_table(sets)
+    return found
 
 
 def link(rows: DataFrame, rule: Threshold = Threshold(), *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,18 +187,22 @@ def link(rows: DataFrame, rule: Threshold = Threshold(), *, id: str = "doc_id",
     in_groups = materialise(members.join(groups.where("size > 1"), ["n", "p1", "p2"]).select("cid", "gid"), "members")
 
     leaders = classes.join(groups.select(F.col("gid").alias("cid")), "cid")
-    postings = leaders.select(F.explode("prefix").alias("token"), F.col("cid").alias("gid"))
-    runs = materialise(postings.select("token", "gid", F.count(F.lit(1)).over(Window.partitionBy("token")).alias("run")).where("run > 1"), "runs")
+    postings = leaders.select(F.posexplode("prefix").alias("place", "token"), F.col("cid").alias("gid"))
+    runs = materialise(postings.select("token", "gid", "place", F.count(F.lit(1)).over(Window.partitionBy("token")).alias("run")).where("run > 1"), "runs")
 
     # First round: the busiest group of each run, then for every group its best partner among those.
     busy = runs.groupBy("gid").agg(F.sum("run").alias("busy"))
     placed = runs.join(busy, "gid")
     pivots = placed.groupBy("token").agg(F.max(F.struct("busy", "gid")).getField("gid").alias("pivot"))
     near = runs.join(pivots, "token").where("gid != pivot").groupBy("gid", "pivot").agg(F.count(F.lit(1)).alias("shared"))
+    extent = classes.select("n", F.size("prefix").alias("p"), F.col("cid").alias("gid"))
+    sized = near.join(extent.select("gid", F.col("n").alias("x_n"), F.col("p").alias("x_p")), "gid")
+    sized = sized.join(extent.select(F.col("gid").alias("pivot"), F.col("n").alias("y_n"), F.col("p").alias("y_p")), "pivot")
+    near = sized.where(may_link(rule))
     best = near.groupBy("gid").agg(F.max(F.struct("shared", "pivot")).getField("pivot").alias("pivot"))
     chain = in_groups.where("cid != gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
     stars = best.select(F.col("gid").alias("a"), F.col("pivot").alias("b")).unionAll(chain)
-    found = materialise(verified(materialise(stars, "stars"), classes, rows, id, text, rule), "links")
+    found = verified(materialise(stars, "stars"), classes, rows, id, text, rule)
     merged = components(found)
 
     # Second round: every pair that is left between different components.
@@ -202,27 +218,39 @@ def link(rows: DataFrame, rule: Threshold = Threshold(), *, id: str = "doc_id",
     return out.select(F.col("id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component"))
 
 
+def may_link(rule: Threshold) -> Column:
+    """Whether sets x and y may link that share so many shingles of their prefixes (columns x_n, x_p, y_n, y_p, shared).
+
+    Of the two prefixes, the one that ends first in the order lacks every shingle of it that is
+    not shared.  Which one that is, is not known here, so the larger of the two bounds holds.
+    """
+    overlap = F.greatest(F.col("x_n") - F.col("x_p"), F.col("y_n") - F.col("y_p")) + F.col("shared")
+    size = (F.lit(rule.over) * F.col("x_n") >= F.lit(rule.under) * F.col("y_n")) & (F.lit(rule.over) * F.col("y_n") >= F.lit(rule.under) * F.col("x_n"))
+    return size & (F.lit(rule.over + rule.under) * overlap >= F.lit(rule.under) * (F.col("x_n") + F.col("y_n")))
+
+
 def candidates(runs: DataFrame, groups: DataFrame, in_groups: DataFrame, label: DataFrame, classes: DataFrame, rule: Threshold) -> DataFrame:
     """Member pairs (a, b) of different components that may link and were not joined by the first round."""
     # A group whose members are all of one component takes part as that component, else as mixed.
     of_group = in_groups.join(label, "cid").groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     state = groups.select("gid", "n").join(label.select(F.col("cid").alias("gid"), "component"), "gid").join(of_group, "gid", "left")
     state = state.select("gid", "n", F.when(F.col("low") != F.col("high"), F.lit(NEVER)).otherwise(F.col("component")).alias("component"))
-    state = state.join(classes.select(F.col("cid").alias("gid"), F.size("prefix").alias("p")), "gid")
-    entries = materialise(runs.select("token", "gid").join(state, "gid"), "entries")
+    entries = materialise(runs.select("token", "gid", "place").join(state, "gid"), "entries")
     mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where((F.col("low") != F.col("high")) | (F.col("low") == NEVER)).select("token")
     open_runs = entries.join(mixed, "token", "left_semi")
-    x = open_runs.select("token", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "component", "p")])
-    y = open_runs.select("token", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "component", "p")])
+    x = open_runs.select("token", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "component", "place")])
+    y = open_runs.select("token", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "component", "place")])
     apart = (F.col("x_component") != F.col("y_component")) | (F.col("x_component") == NEVER)
     ordered = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_gid") < F.col("y_gid")))
     sizes = F.lit(rule.over) * F.col("x_n") >= F.lit(rule.under) * F.col("y_n")
-    met = x.join(y, "token").where(ordered & sizes & apart)
-    counted = met.groupBy("x_gid", "y_gid").agg(F.count(F.lit(1)).alias("shared"), *[F.first(c).alias(c) for c in ("x_n", "y_n", "x_p", "y_p")])
-    # Of the two prefixes, the one that ends first lacks every shingle that is not shared; which one does is not known here, so the larger bound holds.
-    overlap = F.greatest(F.col("x_n") - F.col("x_p"), F.col("y_n") - F.col("y_p")) + F.col("shared")
-    needed = -F.floor(-(F.lit(rule.under) * (F.col("x_n") + F.col("y_n"))) / F.lit(rule.over + rule.under))
-    pairs = counted.where(overlap >= needed).select("x_gid", "y_gid")
+    # Where a pair first meets in the order, neither has what came before it in the other; a pair that fails here met earlier, or not at all.
+    left = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    enough = F.lit(rule.over + rule.under) * left >= F.lit(rule.under) * (F.col("x_n") + F.col("y_n"))
+    met = x.join(y, "token").where(ordered & sizes & apart & enough).select("x_gid", "y_gid").distinct()
+    for side in ("x", "y"):
+        met = met.join(classes.select(F.col("cid").alias(f"{side}_gid"), F.col("n").alias(f"{side}_n"), F.col("prefix").alias(f"{side}_prefix")), f"{side}_gid")
+    counted = met.withColumns({"shared": F.size(F.array_intersect("x_prefix", "y_prefix")), "x_p": F.size("x_prefix"), "y_p": F.size("y_prefix")})
+    pairs = materialise(counted.where(may_link(rule)).select("x_gid", "y_gid"), "group-pairs")
 
     own = groups.select(F.col("gid")).join(in_groups, "gid", "left").select("gid", F.coalesce("cid", "gid").alias("cid")).join(label, "cid")
     xs = own.select(F.col("gid").alias("x_gid"), F.col("cid").alias("a"), F.col("component").alias("ca"))
