@@ -119,8 +119,12 @@ class Network:
             lo = hi
         return out
 
-    def fit(self, x: np.ndarray, first: np.ndarray, target: np.ndarray, weight: np.ndarray, *, epochs: int, batch: int, rate: float, decay: float, seed: int) -> Network:
-        """x: all windows; first: where each document's windows begin (one more at the end)."""
+    def fit(self, x: np.ndarray, first: np.ndarray, target: np.ndarray, weight: np.ndarray, *, epochs: int, batch: int, rate: float, decay: float, seed: int, steps: int = 0) -> Network:
+        """x: all windows; first: where each document's windows begin (one more at the end).
+
+        Small samples are gone through more often than `epochs` times, until `steps` batches are done.
+        """
+        epochs = max(epochs, -(-steps // -(-len(target) // batch)))
         s, rng = self.shape, np.random.default_rng(seed)
         held = [self.embed, self.kernel, self.bias, self.dense, self.offset]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in held]
