@@ -22,20 +22,12 @@ QUALITY_CUT = 0.7
 BROADCAST_ROWS = 1_000_000
 
 
-def _fresh(docs: DataFrame, name: str) -> str:
-    """A column name that docs does not have."""
-    held = {c.lower() for c in docs.columns}
-    while name in held:
-        name += "_"
-    return name
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a letter, or in no language that was learned, go."""
     model = language.train(common.only(docs, "text", "lang"))
-    lang, score = _fresh(docs, "__lang"), _fresh(docs, "__score")
+    lang, score = common.fresh(docs, "__lang"), common.fresh(docs, "__score")
     found = language.identify(docs, model, lang_out=lang, score_out=score)
-    return found.where((F.col(lang) != language.UNDETERMINED) & (F.col(score) >= LANGUAGE_CUT)).select(*docs.columns)
+    return found.where((F.col(lang) != language.UNDETERMINED) & (F.col(score) >= LANGUAGE_CUT)).select(*common.columns_of(docs))
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,18 +36,18 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     network = quality.train(common.only(docs, "doc_id", "text"), labels.where(common.remainder(F.col("doc_id"), 4) != 2))
     if network is None:  # nothing to judge by
         return docs
-    score = _fresh(docs, "__score")
-    return quality.score(docs, network, score_out=score).where(F.col(score) >= QUALITY_CUT).select(*docs.columns)
+    score = common.fresh(docs, "__score")
+    return quality.score(docs, network, score_out=score).where(F.col(score) >= QUALITY_CUT).select(*common.columns_of(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of rows that share 80 % of their five-word shingles, directly or in a chain, the first stays."""
-    row = _fresh(docs, "__row")
+    row = common.fresh(docs, "__row")
     held = common.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     linked = ngram_join.link(held.select(row, "text"), ngram_join.Threshold(words=5, under=80, over=100), id=row)
     copies = common.materialise(linked.where("id != component").select(F.col("id").alias(row)), "copies")
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return held.join(F.broadcast(copies) if few else copies, row, "left_anti").select(*docs.columns)
+    return held.join(F.broadcast(copies) if few else copies, row, "left_anti").select(*common.columns_of(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,16 @@ from pyspark.sql import functions as F
 _shipped: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable on every executor (once for an application)."""
+#: Rows and bytes that Spark and a Python worker exchange at once at most, about: texts may be long, and either side holds two such batches.
+BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Make this package importable on every executor (once for an application), and bound the batches that workers get."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -39,27 +47,50 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+def table_folder(spark: SparkSession) -> str:
+    """Where this application's written tables lie."""
+    return f"{work_folder(spark)}/larkspur-{spark.sparkContext.applicationId}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Remove all tables that this application's operators have written; results that were not yet read are lost."""
+    _delete(spark, table_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there.
 
     A lost executor then costs only the tasks that ran on it.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/larkspur/{label}-{uuid.uuid4().hex}"
+    path = f"{table_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame | None) -> None:
+def drop_table(df: DataFrame) -> None:
     """Remove the files of a table made by materialise that nothing will read again."""
-    if df is None:
-        return
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {str(Path(f.split(":", 1)[1]).parent) if f.startswith("file:") else f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/larkspur/" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/larkspur-" in folder:
+            _delete(df.sparkSession, folder)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def remainder(column: Column, modulus: int) -> Column:

@@ -90,8 +90,8 @@ def gathered(longer: Depth, shorter: Depth, at: np.ndarray) -> list[np.ndarray]:
     return [np.bincount(shorter.nodes[b][at[longer.first[b]]], longer.log_w[b], len(shorter.total[b])) for b in range(8)]
 
 
-def grow(grams: np.ndarray, count: np.ndarray, full: int, least: int) -> tuple[list[Depth], list[np.ndarray], list[np.ndarray]]:
-    """The depths full, full - 1, ..., least of sorted grams, the places from each to the next, and what the last hands down."""
+def grow(grams: np.ndarray, count: np.ndarray, full: int, least: int) -> tuple[list[Depth], list[np.ndarray]]:
+    """The depths full, full - 1, ..., least of sorted grams, and the places from each to the next."""
     depths, ups = [depth(grams, count)], []
     weigh(depths[0], None)
     for _ in range(full - least):
@@ -99,7 +99,7 @@ def grow(grams: np.ndarray, count: np.ndarray, full: int, least: int) -> tuple[l
         weigh(short, gathered(depths[-1], short, at))
         depths.append(short)
         ups.append(at)
-    return depths, ups, []
+    return depths, ups
 
 
 @dataclass

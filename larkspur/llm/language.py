@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import bytecnn, sampling
-from larkspur.llm.common import ship_package
+from larkspur.llm.common import fresh, prepare_workers
 
 UNDETERMINED = "und"
 
@@ -34,6 +34,7 @@ class Settings:
     window: int = 256
     filters: int = 10
     widths: tuple[int, ...] = (2, 3, 4, 5)
+    steps: int = 800
     epochs: int = 5
     seed: int = 11
 
@@ -62,7 +63,7 @@ def train(rows: DataFrame, settings: Settings = Settings(), *, text: str = "text
     place = {name: i for i, name in enumerate(languages)}
     target = np.array([place[name] for name in labels])
     weight = 1 / np.bincount(target, minlength=len(languages))[target]
-    network = bytecnn.Network.fresh(shape, settings.seed).fit(x, first, target, weight, epochs=settings.epochs, batch=32, rate=0.01, decay=1e-4, seed=settings.seed)
+    network = bytecnn.Network.fresh(shape, settings.seed).fit(x, first, target, weight, epochs=settings.epochs, batch=32, rate=0.01, decay=1e-4, steps=settings.steps, seed=settings.seed)
     return Model(languages, network)
 
 
@@ -70,7 +71,7 @@ def identify(rows: DataFrame, model: Model, *, text: str = "text", lang_out: str
     """Add the predicted language and its probability to every row."""
     if model.network is None:
         return rows.withColumns({lang_out: F.lit(UNDETERMINED), score_out: F.lit(0.0)})
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     languages, network = model.languages, model.network
 
     @F.arrow_udf("struct<lang string, score double>")
@@ -79,5 +80,6 @@ def identify(rows: DataFrame, model: Model, *, text: str = "text", lang_out: str
         best = p.argmax(1)
         return pa.StructArray.from_arrays([pa.array([languages[i] for i in best], pa.string()), pa.array(p[np.arange(len(p)), best], pa.float64())], ["lang", "score"])
 
-    held = rows.withColumn("__seen", F.when(F.col(text).rlike(r"\p{L}"), predict(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
-    return held.withColumns({lang_out: F.coalesce(F.col("__seen.lang"), F.lit(UNDETERMINED)), score_out: F.coalesce(F.col("__seen.score"), F.lit(0.0))}).drop("__seen")
+    seen = fresh(rows, "__seen")
+    held = rows.withColumn(seen, F.when(F.col(text).rlike(r"\p{L}"), predict(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    return held.withColumns({lang_out: F.coalesce(F.col(f"{seen}.lang"), F.lit(UNDETERMINED)), score_out: F.coalesce(F.col(f"{seen}.score"), F.lit(0.0))}).drop(seen)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import ctw, words
-from larkspur.llm.common import materialise, ship_package
+from larkspur.llm.common import materialise, prepare_workers
 
 #: Context depths: all, the crown's greatest, and the first that buckets hold whole.
 FULL, CROWN, LEAST = 6, 2, 3
@@ -211,7 +211,7 @@ def grown(need: DataFrame, parts: DataFrame) -> DataFrame:
         keys, counts = expand(out.column("keys")[0].as_py(), np.uint64), expand(out.column("counts")[0].as_py(), np.int64)
         crown = [b""] * 4
         if key[0].as_py() == GRAM and (counts > 0).any():
-            depths, _, _ = ctw.grow(keys[counts > 0], counts[counts > 0], FULL, LEAST)
+            depths, _ = ctw.grow(keys[counts > 0], counts[counts > 0], FULL, LEAST)
             short, at = ctw.shorten(depths[-1])
             below = ctw.gathered(depths[-1], short, at)
             names = np.concatenate([ctw.Crown.name(short.grams[short.first[b]], b) for b in range(8)])
@@ -259,7 +259,7 @@ def answers(need: DataFrame, trees: DataFrame, parts: DataFrame, crown: ctw.Crow
     def lengths(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if shared.value is None:
             return np.full(len(keys), 8 * np.log10(0.5))
-        depths, ups, _ = ctw.grow(keys, counts, FULL, LEAST)
+        depths, ups = ctw.grow(keys, counts, FULL, LEAST)
         short, at = ctw.shorten(depths[-1])
         return ctw.walk(shared.value.mixture(short.grams).take(at), depths, ups).log10()
 
@@ -375,7 +375,7 @@ def score(rows: DataFrame, trains: Column, *, id: str = "doc_id", text: str = "t
 
     trains: a condition on the rows that the model and the baseline learn from.
     """
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     held = blocks(rows, id, text, trains)
     size = held.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     need = needs(held, max(8, -(-size // BUCKET_BYTES)))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import words
-from larkspur.llm.common import drop_table, materialise, ship_package
+from larkspur.llm.common import drop_table, materialise, prepare_workers
 from larkspur.llm.components import components
 
 BUCKETS = 1 << 20
@@ -177,7 +177,7 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, id: str, tex
 
 def link(rows: DataFrame, rule: Threshold = Threshold(), *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row: (id, n_shingles, component), the smallest id reachable by links."""
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     described = materialise(profiles(rows, id, text, rule), "profiles")
     some = described.where(F.col("n") > 0)
     classes = materialise(some.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("cid", F.monotonically_increasing_id()), "classes")

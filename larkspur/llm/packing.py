@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialise, ship_package
+from larkspur.llm.common import materialise, prepare_workers
 
 #: Distinct words whose ids a task remembers at once.
 REMEMBERED = 300_000
@@ -88,7 +88,7 @@ class WordIds:
 
 def pieces(rows: DataFrame, vocabulary: str, *, id: str = "doc_id", text: str = "text", most: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece of every row's ids, the end token included."""
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
 
     def cut(batches):
         held = WordIds(vocabulary)
@@ -153,7 +153,7 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add sequence_id and offset to every piece."""
-    ship_package(pieces.sparkSession)
+    prepare_workers(pieces.sparkSession)
     held = materialise(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-held.count() // group_rows))
     dealt = held.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "__row"), F.lit(groups))).drop("__row")

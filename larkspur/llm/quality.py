@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import bytecnn, sampling
-from larkspur.llm.common import ship_package
+from larkspur.llm.common import prepare_workers
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,7 @@ class Settings:
     window: int = 256
     filters: int = 12
     widths: tuple[int, ...] = (2, 3, 4, 5)
+    steps: int = 1500
     epochs: int = 6
     crop_weight: float = 0.5
     clean_weight: float = 2.0
@@ -52,14 +53,14 @@ def train(rows: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
     weight = np.where(np.arange(len(target)) < len(found), 1.0, settings.crop_weight)
     weight /= np.bincount(target, weight, 2)[target]
     weight = np.where(target == 1, settings.clean_weight, 1.0) * weight
-    return bytecnn.Network.fresh(settings.shape, settings.seed).fit(x, first, target, weight, epochs=settings.epochs, batch=32, rate=0.01, decay=1e-4, seed=settings.seed)
+    return bytecnn.Network.fresh(settings.shape, settings.seed).fit(x, first, target, weight, epochs=settings.epochs, batch=32, rate=0.01, decay=1e-4, steps=settings.steps, seed=settings.seed)
 
 
 def score(rows: DataFrame, network: bytecnn.Network | None, *, text: str = "text", score_out: str = "score") -> DataFrame:
     """Add the probability of label 1 to every row."""
     if network is None:
         return rows.withColumn(score_out, F.lit(0.5))
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
 
     @F.arrow_udf("double")
     def predict(column: pa.Array) -> pa.Array:

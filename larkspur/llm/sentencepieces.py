@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import ship_package
+from larkspur.llm.common import prepare_workers
 from larkspur.llm.wordtable import WordTable
 
 # Fixed values of the model format.
@@ -228,7 +228,7 @@ class Encoder(WordTable):
 
 def encode(rows: DataFrame, model: str, *, text: str = "text", ids_out: str = "ids") -> DataFrame:
     """Add the ids of every text."""
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     held: list[Encoder] = []
 
     @F.arrow_udf("array<int>")
@@ -246,7 +246,7 @@ def encode(rows: DataFrame, model: str, *, text: str = "text", ids_out: str = "i
 
 def decode(rows: DataFrame, model: str, *, ids: str = "ids", text_out: str = "decoded") -> DataFrame:
     """Add the text of every list of ids; null stays null."""
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     held: list[Encoder] = []
 
     @F.arrow_udf("string")
@@ -271,7 +271,7 @@ def _runs(sizes: list[int], most: int = 1 << 22):
 
 def digests(rows: DataFrame, model: str, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids, n_ids, ids_crc32, round_trip): every text's ids, and whether decoding them gives the text again."""
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
 
     def run(batches):
         held = Encoder(model)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialise, ship_package
+from larkspur.llm.common import materialise, prepare_workers
 
 BLOCK_ROWS = 2048
 QUERY_ROWS = 1024
@@ -129,7 +129,7 @@ def whole(rows: DataFrame, id: str, vector: str, scale: int) -> DataFrame:
 
 def top_k(rows: DataFrame, is_query: Column, k: int, *, id: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, id, score): the k best rows for every row that is a query (a condition on the column id)."""
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     held = whole(rows, id, vector, scale)
     queries = held.where(is_query)
     blocks = max(1, -(-held.count() // BLOCK_ROWS))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import sampling
-from larkspur.llm.common import materialise, ship_package
+from larkspur.llm.common import materialise, prepare_workers
 
 # Signs that are written for Latin letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
@@ -206,7 +206,7 @@ def unexplained(entries: dict[str, float], counts: dict[str, tuple[int, int]], f
 
 def train(rows: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """Learn from rows whose label in the table `labels` (id, label) is 0 or 1."""
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     toxic_ids = sampling.labelled_ids(labels, id, label, settings.toxic).where("label = 1")
     clean_ids = sampling.labelled_ids(labels, id, label, settings.clean).where("label = 0")
     ids = F.broadcast(toxic_ids.unionAll(clean_ids))
@@ -318,7 +318,7 @@ def score(rows: DataFrame, lexicon: Lexicon, *, text: str = "text", score_out: s
     """Add the probability that a row is toxic."""
     if not lexicon.entries:
         return rows.withColumn(score_out, F.lit(0.0))
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     held: list = []
 
     @F.arrow_udf("double")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialise, ship_package
+from larkspur.llm.common import materialise, prepare_workers
 from larkspur.llm.components import components
 
 BLOCK_DIMS = 8
@@ -132,7 +132,7 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def link(rows: DataFrame, cosine: float, *, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(id, n_links, component) of every row."""
-    ship_package(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     v = F.col("vector")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     able = F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
