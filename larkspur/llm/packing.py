@@ -15,20 +15,24 @@ an empty table gives no piece; extra columns are ignored.
 
 from __future__ import annotations
 
-import itertools
+import json
 import os
+import unicodedata
 import zlib
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import materialise, prepare_workers
 
-#: Distinct words whose ids a task remembers at once.
-REMEMBERED = 300_000
+#: Distinct matches whose ids a worker remembers at once, and letters of a text that are split at once, about.
+REMEMBERED = 600_000
+PIECE = 1 << 20
 #: Pieces packed together at most, about: a group is one task's work.
 GROUP_ROWS = 16_384
 
@@ -46,44 +50,68 @@ class Capacity:
         return np.array([self.tokens, self.documents, self.attention], np.float64)
 
 
-class WordIds:
-    """Token ids by white-space-separated word: no token of the tokenizer spans white space."""
+class _Matches(dict):
+    """The ids of every match of the splitting pattern, merged on first sight."""
+
+    def __init__(self, model, letters: dict[int, str]):
+        super().__init__()
+        self.model, self.letters = model, letters
+
+    def __missing__(self, match: str) -> bytes:
+        shown = match if match.isascii() and match.isprintable() else match.encode().decode("latin-1").translate(self.letters)
+        own = self[match] = np.array([t.id for t in self.model.tokenize(shown)], np.uint32).tobytes()
+        return own
+
+
+class TextIds:
+    """Token ids of texts.
+
+    Where the tokenizer file says that lower-cased text is split by a pattern and each match is
+    merged alone, every distinct match is merged once.  Texts that need more of the normaliser than
+    lower-casing, or hold an added token, and other tokenizers go through the library's encoder.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and where each text's ids begin (one more at the end)."""
-        words = [t.split() for t in texts]
-        fresh = list(dict.fromkeys(w for w in itertools.chain.from_iterable(words) if w not in self.codes))
-        if fresh:
-            if len(self.codes) > REMEMBERED:
-                self.clear()
-                fresh = list(dict.fromkeys(itertools.chain.from_iterable(words)))
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)]
-            self.codes.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh)), strict=True))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(sizes) - sizes]
-            self.sizes = np.r_[self.sizes, sizes]
-            self.flat = np.r_[self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        codes = np.fromiter(map(self.codes.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(counts.sum()))
-        sizes = self.sizes[codes]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        out = self.flat[np.repeat(self.starts[codes] - (ends - sizes), sizes) + np.arange(total)]
-        edges = np.r_[0, np.cumsum(counts)]
-        return out, np.r_[0, ends][edges]
+        file = json.loads(Path(path).read_text(encoding="utf-8"))
+        steps = (file.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        split = steps[0] if len(steps) == 2 and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] else None
+        plain = bool(split) and "Regex" in split["pattern"] and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and not file.get("post_processor")
+        lower = [n["type"] for n in (file.get("normalizer") or {}).get("normalizers") or []] == ["NFC", "Replace", "Lowercase"]
+        self.pattern = regex.compile(split["pattern"]["Regex"]) if plain and lower else None
+        # Lower-casing a final sigma looks at its neighbours in one library and not in the other; libraries differ on separators as white space.
+        self.odd = regex.compile("|".join([r"[\x1c-\x1fΣ]", *(regex.escape(t["content"]) for t in file.get("added_tokens") or [])]))
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.matches = _Matches(self.tokenizer.model, self.letters)
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.pattern is None or not unicodedata.is_normalized("NFC", text) or self.odd.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        if len(self.matches) > REMEMBERED:
+            self.matches.clear()
+        parts, at = [], 0
+        while at < len(text):  # long texts in pieces that end at a space, which no match holds
+            end = len(text) if len(text) - at <= PIECE else text.find(" ", at + PIECE)
+            end = len(text) if end < 0 else end
+            parts.append(b"".join(map(self.matches.__getitem__, self.pattern.findall(text[at:end].lower()))))
+            at = end
+        return np.frombuffer(b"".join(parts), np.uint32)
+
+
+_held: dict[str, TextIds] = {}
+
+
+def text_ids(path: str) -> TextIds:
+    """One table for all tasks of a worker process."""
+    if path not in _held:
+        _held.clear()
+        _held[path] = TextIds(path)
+    return _held[path]
 
 
 def pieces(rows: DataFrame, vocabulary: str, *, id: str = "doc_id", text: str = "text", most: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -91,30 +119,21 @@ def pieces(rows: DataFrame, vocabulary: str, *, id: str = "doc_id", text: str =
     prepare_workers(rows.sparkSession)
 
     def cut(batches):
-        held = WordIds(vocabulary)
+        held = text_ids(vocabulary)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= 1 << 20):
-                    size += len(texts[hi])
-                    hi += 1
-                flat, edges = held.ids(texts[lo:hi])
-                out: list[tuple] = []
-                for i in range(hi - lo):
-                    own = np.append(flat[edges[i] : edges[i + 1]], np.uint32(end_id)).astype("<u4")
-                    for n, at in enumerate(range(0, len(own), most)):
-                        part = own[at : at + most]
-                        out.append((names[lo + i], n, at, len(part), zlib.crc32(part.tobytes()), part.tolist() if with_ids else None))
-                columns = list(zip(*out, strict=True))
-                arrays = [pa.array(c, pa.int64() if i != 1 else pa.int32()) for i, c in enumerate(columns[:5])]
-                if with_ids:
-                    arrays.append(pa.array(columns[5], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
-                lo = hi
-
-    picked = rows.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+            out: list[tuple] = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.append(held.ids(text), np.uint32(end_id)).astype("<u4")
+                for n, at in enumerate(range(0, len(own), most)):
+                    part = own[at : at + most]
+                    out.append((name, n, at, len(part), zlib.crc32(part.tobytes()), part.tolist() if with_ids else None))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            arrays = [pa.array(c, pa.int64() if i != 1 else pa.int32()) for i, c in enumerate(columns[:5])]
+            if with_ids:
+                arrays.append(pa.array(columns[5], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+
+    picked = rows.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return picked.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
