@@ -30,9 +30,9 @@ from larkspur.llm.common import materialise, prepare_workers
 
 BLOCK_ROWS = 2048
 QUERY_ROWS = 1024
-LEVELS = 16
+LEVELS = 32
 #: Levels after which the bounds are looked at.
-LOOK = (10, 13, 15)
+LOOK = (22, 26, 29)
 
 
 class ImpactIndex:
