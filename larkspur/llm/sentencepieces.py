@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi search.
 
-A text is split into marked words (a run of spaces and what follows); no piece
-reaches over such a border.  The distinct new words are sorted, which is a
-depth-first walk of their trie: going from one word to the next, the forward
-states of the common prefix stay and only the rest is computed.
+A text's spaces become marks, and it is split between any two characters that no
+piece has side by side, such as before a mark: no piece reaches over such a
+border.  The distinct new words are sorted, which is a depth-first walk of their
+trie: going from one word to the next, the forward states of the common prefix
+stay and only the rest is computed.
 
 For a unigram model the forward state of a prefix is its best score and last
 piece.  For a BPE model it is the last piece of the prefix's one valid
@@ -20,13 +21,13 @@ repeated rows get equal ids; extra columns stay.
 from __future__ import annotations
 
 import heapq
+import itertools
 import struct
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,11 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 
+PAIR_BITS = 22
+TAIL = 3
+#: Letters whose new words are encoded together, about: the more, the more prefixes they share.
+BATCH = 1 << 23
+
 
 def _fields(data: bytes):
     """(number, value) of the fields of an encoded message."""
@@ -97,17 +103,27 @@ class Model:
         self.id = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == NORMAL}
         self.unknown = next((i for i, t in enumerate(self.types) if t == UNKNOWN), 0)
         self.byte = {int(p[1:-1], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
-        self.lengths = sorted({len(p) for p in self.id})
-        self.longest = max(self.lengths, default=1)
-        self.longest_first = [[n for n in reversed(sorted({1, *self.lengths})) if n <= top] for top in range(self.longest + 1)]
         self.least = min((self.scores[i] for i in self.id.values()), default=0.0)
-        inner = {c for p in self.id if len(p) > 1 for c in p}
-        if any(MARK in p.lstrip(MARK) for p in self.id):
-            raise ValueError("a piece reaches over the start of a word")
-        # A line end that is in no longer piece is a word of its own.
-        self.split = regex.compile(r" *[^ \n]+| +|\n" if "\n" not in inner else r" *[^ ]+| +")
+        # Pairs of characters inside pieces, by hash: a pair that is not marked here is in no piece.
+        self.pairs = np.zeros(1 << PAIR_BITS, bool)
+        for p in self.id:
+            if len(p) > 1:
+                own = np.frombuffer(p.encode("utf-32-le"), np.uint32)
+                self.pairs[self.pair(own[:-1], own[1:])] = True
+        # The lengths, longest first, of the pieces with the same last TAIL characters, and all that are no longer.
+        tails: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > TAIL:
+                tails.setdefault(p[-TAIL:], set()).add(len(p))
+        short = range(TAIL, 0, -1)
+        self.tails = {t: (*sorted(own, reverse=True), *short) for t, own in tails.items()}
+        self.short = tuple(short)
         self.bytes = [p.replace(MARK, " ").encode() if t == NORMAL else bytes([int(p[1:-1], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() for p, t in zip(self.pieces, self.types, strict=True)]
 
+    @staticmethod
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - PAIR_BITS)
+
     def merge(self, word: str) -> list[str]:
         """The segmentation that merging gives: always the best-scored mergeable pair, the leftmost of equals."""
         symbols: list[str | None] = list(word)
@@ -139,70 +155,85 @@ class Encoder(WordTable):
     def __init__(self, path: str):
         super().__init__()
         self.model = Model(path)
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.tried = 0
 
     def words(self, text: str) -> list[str]:
         if not text:
             return []
-        text = text.replace(MARK, " ")
-        return self.model.split.findall(" " + text if self.model.dummy_prefix else text)
+        text = text.replace(" ", MARK)
+        if self.model.dummy_prefix:
+            text = MARK + text
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        cuts = (np.flatnonzero(~self.model.pairs[self.model.pair(codes[:-1], codes[1:])]) + 1).tolist()
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
     def forget(self) -> None:
-        if len(self.follows) > 4 * self.most:
-            self.follows.clear()
+        if self.tried > 2 * self.most:
+            self.follows, self.tried = {}, 0
 
     def encode(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
         order = sorted(range(len(fresh)), key=fresh.__getitem__)
         out: list[list[int]] = [[]] * len(fresh)
-        before, states = "", self._start()
+        extend = self._extend_bpe if self.model.kind == BPE else self._extend_unigram
+        # Of every prefix: its score (unigram) or what may follow (BPE), its last piece and where that begins.
+        before, states = "", [(self.follows.setdefault("", {}) if self.model.kind == BPE else 0.0, "", 0)]
         for i in order:
-            word = fresh[i].replace(" ", MARK)
+            word = fresh[i]
             common = 0
             for a, b in zip(before, word):  # noqa: B905
                 if a != b:
                     break
                 common += 1
             del states[common + 1 :]
-            for end in range(common + 1, len(word) + 1):
-                states.append(self._step(word, end, states))
+            extend(word, states)
             out[i] = self._ids(word, states)
             before = word
         sizes = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter((x for own in out for x in own), np.uint32, int(sizes.sum())), sizes
-
-    def _start(self) -> list[tuple]:
-        return [(0.0, "", 0)]
+        return np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(sizes.sum())), sizes
+
+    def _extend_bpe(self, word: str, states: list[tuple]) -> None:
+        """The states of the prefixes of word that states lacks: the one piece that may follow its predecessor."""
+        model, follows = self.model, self.follows
+        known, tails, short = model.id, model.tails, model.short
+        for end in range(len(states), len(word) + 1):
+            for size in tails.get(word[max(0, end - TAIL) : end], short):
+                if size > end:
+                    continue
+                begin = end - size
+                piece = word[begin:end]
+                if size > 1 and piece not in known:
+                    continue
+                after, last, _ = states[begin]
+                good = after.get(piece)
+                if good is None:
+                    good = after[piece] = model.merge(last + piece) == ([last, piece] if last else [piece])
+                    self.tried += 1
+                if good:
+                    own = follows.get(piece)
+                    if own is None:
+                        own = follows[piece] = {}
+                    states.append((own, piece, begin))
+                    break
+            else:
+                raise AssertionError("a prefix has no valid segmentation")
 
-    def _step(self, word: str, end: int, states: list[tuple]) -> tuple:
-        """The forward state of word[:end]: (score, last piece, where it begins), from those of its prefixes."""
+    def _extend_unigram(self, word: str, states: list[tuple]) -> None:
+        """The states of the prefixes of word that states lacks: the best-scored piece to end with."""
         model = self.model
-        if model.kind == BPE:
-            for size in model.longest_first[min(end, model.longest)]:
-                piece = word[end - size : end]
-                if (piece in model.id or size == 1) and self._may_follow(states[end - size][1], piece):
-                    return 0.0, piece, end - size
-            raise AssertionError("a prefix has no valid segmentation")
-        best = None
-        for size in model.lengths:
-            if size > end:
-                break
-            piece = word[end - size : end]
-            i = model.id.get(piece)
-            if i is not None and (best is None or states[end - size][0] + model.scores[i] > best[0]):
-                best = states[end - size][0] + model.scores[i], piece, end - size
-        if word[end - 1] not in model.id:
-            score = states[end - 1][0] + model.least - UNKNOWN_PENALTY
-            if best is None or score > best[0]:
-                best = score, word[end - 1], end - 1
-        return best
-
-    def _may_follow(self, last: str, piece: str) -> bool:
-        key = (last, piece)
-        known = self.follows.get(key)
-        if known is None:
-            known = self.follows[key] = self.model.merge(last + piece) == ([last, piece] if last else [piece])
-        return known
+        for end in range(len(states), len(word) + 1):
+            best = None
+            for size in model.tails.get(word[max(0, end - TAIL) : end], model.short):
+                if size > end:
+                    continue
+                i = model.id.get(word[end - size : end])
+                if i is not None and (best is None or states[end - size][0] + model.scores[i] > best[0]):
+                    best = states[end - size][0] + model.scores[i], word[end - size : end], end - size
+            if word[end - 1] not in model.id:
+                score = states[end - 1][0] + model.least - UNKNOWN_PENALTY
+                if best is None or score > best[0]:
+                    best = score, word[end - 1], end - 1
+            states.append(best)
 
     def _ids(self, word: str, states: list[tuple]) -> list[int]:
         found, end = [], len(word)
@@ -226,18 +257,27 @@ class Encoder(WordTable):
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
+_held: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    if path not in _held:
+        _held.clear()
+        _held[path] = Encoder(path)
+    return _held[path]
+
+
 def encode(rows: DataFrame, model: str, *, text: str = "text", ids_out: str = "ids") -> DataFrame:
     """Add the ids of every text."""
     prepare_workers(rows.sparkSession)
-    held: list[Encoder] = []
 
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Encoder(model))
+        held = encoder(model)
         parts, texts = [], column.to_pylist()
         for lo, hi in _runs(list(map(len, texts))):
-            flat, edges = held[0].ids(texts[lo:hi])
+            flat, edges = held.ids(texts[lo:hi])
             parts.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32))))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
@@ -247,18 +287,16 @@ def encode(rows: DataFrame, model: str, *, text: str = "text", ids_out: str = "i
 def decode(rows: DataFrame, model: str, *, ids: str = "ids", text_out: str = "decoded") -> DataFrame:
     """Add the text of every list of ids; null stays null."""
     prepare_workers(rows.sparkSession)
-    held: list[Encoder] = []
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        if not held:
-            held.append(Encoder(model))
-        return pa.array([None if own is None else held[0].decode(own) for own in column.to_pylist()], pa.string())
+        held = encoder(model)
+        return pa.array([None if own is None else held.decode(own) for own in column.to_pylist()], pa.string())
 
     return rows.withColumn(text_out, run(F.col(ids)))
 
 
-def _runs(sizes: list[int], most: int = 1 << 22):
+def _runs(sizes: list[int], most: int = BATCH):
     lo = 0
     while lo < len(sizes):
         hi, size = lo, 0
@@ -274,7 +312,7 @@ def digests(rows: DataFrame, model: str, *, id: str = "doc_id", text: str = "tex
     prepare_workers(rows.sparkSession)
 
     def run(batches):
-        held = Encoder(model)
+        held = encoder(model)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in _runs(list(map(len, texts))):
