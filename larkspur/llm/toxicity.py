@@ -111,12 +111,10 @@ class Lexicon:
             found.make_automaton()
         return found
 
-    def measure(self, automaton, text: str) -> tuple[float, int]:
-        """(sum of the weights of the hits, number of words) of a text."""
-        folded = fold(text)
-        length = len(folded.split())
+    def hits(self, automaton, folded: str) -> list[tuple[int, int, float]]:
+        """(first place, last place, weight) of the hits of a folded text that lie in no exception phrase."""
         if not len(automaton):
-            return 0.0, length
+            return []
         hits, safe = [], []
         for end, (size, weight) in automaton.iter(folded):
             (safe if weight is None else hits).append((end - size + 1, end, weight))
@@ -125,7 +123,12 @@ class Lexicon:
             starts = [s for s, _, _ in safe]
             reach = list(np.maximum.accumulate([e for _, e, _ in safe]))
             hits = [h for h in hits if not ((i := bisect_right(starts, h[0])) and reach[i - 1] >= h[1])]
-        return math.fsum(w for _, _, w in hits), length
+        return hits
+
+    def measure(self, automaton, text: str) -> tuple[float, int]:
+        """(sum of the weights of the hits, number of words) of a text."""
+        folded = fold(text)
+        return math.fsum(w for _, _, w in self.hits(automaton, folded)), len(folded.split())
 
     def density(self, weight: float, length: int) -> float:
         return weight / max(1, length) ** self.power
@@ -328,3 +331,21 @@ def score(rows: DataFrame, lexicon: Lexicon, *, text: str = "text", score_out: s
         return pa.array([lexicon.probability(*lexicon.measure(held[0], own)) for own in column.to_pylist()], pa.float64())
 
     return rows.withColumn(score_out, measure(F.coalesce(F.col(text), F.lit(""))))
+
+
+def explain(rows: DataFrame, lexicon: Lexicon, *, text: str = "text", hits_out: str = "hits") -> DataFrame:
+    """Add what was found in every row: the entries in the order of the text, with their weights."""
+    prepare_workers(rows.sparkSession)
+    held: list = []
+
+    @F.arrow_udf("array<struct<entry string, weight double>>")
+    def find(column: pa.Array) -> pa.Array:
+        if not held:
+            held.append(lexicon.automaton())
+        out = []
+        for own in column.to_pylist():
+            folded = fold(own)
+            out.append([{"entry": folded[a : b + 1].strip(), "weight": w} for a, b, w in lexicon.hits(held[0], folded)])
+        return pa.array(out, pa.list_(pa.struct([("entry", pa.string()), ("weight", pa.float64())])))
+
+    return rows.withColumn(hits_out, find(F.coalesce(F.col(text), F.lit(""))))

@@ -117,6 +117,13 @@ def test_lexicon_and_exceptions():
     assert lexicon.probability(4, 10_000) < lexicon.probability(4, 10)
 
 
+def test_hits_are_shown(spark):
+    lexicon = toxicity.Lexicon({" trash ": 2.0, " lowei": 1.0}, (toxicity.fold("trash can"),))
+    df = spark.createDataFrame([(1, "loweiung TR4SH, trash can"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(h) for h in r["hits"]] for r in toxicity.explain(df, lexicon).collect()}
+    assert got == {1: [("lowei", 1.0), ("trash", 2.0)], 2: []}
+
+
 def test_disguised_words_are_found(spark, tmp_path, results):
     clean = [r for r in rows_of(SF, "documents", "doc_id, text, lang, source") if results["op8_toxicity"][r[0]]["predicted"] == 0]
     texts = [(r[0], r[1], r[2], r[3], None) for r in rows_of(SF, "documents", "doc_id, text, lang, source")]
