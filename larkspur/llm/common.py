@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -28,7 +30,7 @@ def prepare_workers(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="larkspur-")) / "larkspur_workers.zip"
+    target = _temporary("larkspur-") / "larkspur_workers.zip"
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as z:
         for path in sorted(root.rglob("*.py")):
@@ -38,11 +40,18 @@ def prepare_workers(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def _temporary(prefix: str) -> Path:
+    """A folder of the driver's own that goes when the driver ends."""
+    path = Path(tempfile.mkdtemp(prefix=prefix))
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = Path(tempfile.mkdtemp(prefix="larkspur-checkpoints-")).as_uri()
+        folder = _temporary("larkspur-checkpoints-").as_uri()
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
