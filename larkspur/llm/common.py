@@ -14,6 +14,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What a worker process keeps from task to task: the tables of one operator at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Called by tasks that need their worker's memory for themselves."""
+    _kept.clear()
 
 
 #: Rows and bytes that Spark and a Python worker exchange at once at most, about: texts may be long, and either side holds two such batches.

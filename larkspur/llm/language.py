@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import bytecnn, sampling
-from larkspur.llm.common import fresh, prepare_workers
+from larkspur.llm.common import fresh, prepare_workers, release
 
 UNDETERMINED = "und"
 
@@ -76,6 +76,7 @@ def identify(rows: DataFrame, model: Model, *, text: str = "text", lang_out: str
 
     @F.arrow_udf("struct<lang string, score double>")
     def predict(column: pa.Array) -> pa.Array:
+        release()
         p = network.probabilities(column.to_pylist())
         best = p.argmax(1)
         return pa.StructArray.from_arrays([pa.array([languages[i] for i in best], pa.string()), pa.array(p[np.arange(len(p)), best], pa.float64())], ["lang", "score"])

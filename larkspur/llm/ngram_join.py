@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import words
-from larkspur.llm.common import drop_table, materialise, prepare_workers
+from larkspur.llm.common import drop_table, materialise, prepare_workers, release
 from larkspur.llm.components import components
 
 BUCKETS = 1 << 20
@@ -59,6 +59,7 @@ def bucket_counts(rows: DataFrame, text: str, size: int) -> np.ndarray:
     """How often the shingles of each of BUCKETS hash buckets occur over all rows: a table of fixed size."""
 
     def count(batches):
+        release()
         held = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for first, found, offsets in words.blocks(batch.column(0).to_pylist()):
@@ -102,6 +103,7 @@ def profiles(rows: DataFrame, id: str, text: str, rule: Threshold) -> DataFrame:
     counts = rows.sparkSession.sparkContext.broadcast(bucket_counts(rows, text, rule.words))
 
     def describe(batches):
+        release()
         order = counts.value
         for batch in batches:
             n, k1, k2, prefixes = [], [], [], []
@@ -137,6 +139,7 @@ def whole_sets(rows: DataFrame, id: str, text: str, wanted: DataFrame, size: int
     held = picked.join(F.broadcast(wanted) if few else wanted, picked["id"].eqNullSafe(wanted["id"])).select("cid", "k1", "k2", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def read(batches):
+        release()
         seen = set()
         for batch in batches:
             cids, sets = [], []

@@ -28,10 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialise, prepare_workers
+from larkspur.llm.common import kept, materialise, prepare_workers
 
 #: Distinct matches whose ids a worker remembers at once, and letters of a text that are split at once, about.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 PIECE = 1 << 20
 #: Pieces packed together at most, about: a group is one task's work.
 GROUP_ROWS = 16_384
@@ -103,23 +103,12 @@ class TextIds:
         return np.frombuffer(b"".join(parts), np.uint32)
 
 
-_held: dict[str, TextIds] = {}
-
-
-def text_ids(path: str) -> TextIds:
-    """One table for all tasks of a worker process."""
-    if path not in _held:
-        _held.clear()
-        _held[path] = TextIds(path)
-    return _held[path]
-
-
 def pieces(rows: DataFrame, vocabulary: str, *, id: str = "doc_id", text: str = "text", most: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece of every row's ids, the end token included."""
     prepare_workers(rows.sparkSession)
 
     def cut(batches):
-        held = text_ids(vocabulary)
+        held = kept(("packing", vocabulary), lambda: TextIds(vocabulary))
         for batch in batches:
             out: list[tuple] = []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import bytecnn, sampling
-from larkspur.llm.common import prepare_workers
+from larkspur.llm.common import prepare_workers, release
 
 
 @dataclass(frozen=True)
@@ -64,6 +64,7 @@ def score(rows: DataFrame, network: bytecnn.Network | None, *, text: str = "text
 
     @F.arrow_udf("double")
     def predict(column: pa.Array) -> pa.Array:
+        release()
         return pa.array(network.probabilities(column.to_pylist())[:, 1], pa.float64())
 
     return rows.withColumn(score_out, predict(F.coalesce(F.col(text), F.lit("")).cast("binary")))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import prepare_workers
+from larkspur.llm.common import kept, prepare_workers
 from larkspur.llm.wordtable import WordTable
 
 # Fixed values of the model format.
@@ -257,15 +257,9 @@ class Encoder(WordTable):
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-_held: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder for all tasks of a worker process."""
-    if path not in _held:
-        _held.clear()
-        _held[path] = Encoder(path)
-    return _held[path]
+    return kept(("sentencepieces", path), lambda: Encoder(path))
 
 
 def encode(rows: DataFrame, model: str, *, text: str = "text", ids_out: str = "ids") -> DataFrame:
