@@ -15,8 +15,11 @@ an empty table gives no piece; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import re
+import sys
 import unicodedata
 import zlib
 from dataclasses import dataclass
@@ -50,6 +53,12 @@ class Capacity:
         return np.array([self.tokens, self.documents, self.attention], np.float64)
 
 
+def _ranges(marked: np.ndarray) -> str:
+    """The inside of a character class of a pattern that holds the marked code points."""
+    edges = np.flatnonzero(np.diff(marked, prepend=False, append=False))
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist())
+
+
 class _Matches(dict):
     """The ids of every match of the splitting pattern, merged on first sight."""
 
@@ -68,10 +77,11 @@ class TextIds:
 
     Where the tokenizer file says that lower-cased text is split by a pattern and each match is
     merged alone, every distinct match is merged once.  Texts that need more of the normaliser than
-    lower-casing, or hold an added token, and other tokenizers go through the library's encoder.
+    lower-casing, hold an added token or a character of `strange`, and other tokenizers go through
+    the library's encoder.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, strange: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -82,15 +92,58 @@ class TextIds:
         plain = bool(split) and "Regex" in split["pattern"] and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and not file.get("post_processor")
         lower = [n["type"] for n in (file.get("normalizer") or {}).get("normalizers") or []] == ["NFC", "Replace", "Lowercase"]
         self.pattern = regex.compile(split["pattern"]["Regex"]) if plain and lower else None
-        # Lower-casing a final sigma looks at its neighbours in one library and not in the other; libraries differ on separators as white space.
-        self.odd = regex.compile("|".join([r"[\x1c-\x1fΣ]", *(regex.escape(t["content"]) for t in file.get("added_tokens") or [])]))
+        added = [re.escape(t["content"]) for t in file.get("added_tokens") or []]
+        self.added = re.compile("|".join(added)) if added else None
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.matches = _Matches(self.tokenizer.model, self.letters)
+        self.strange = self.differing() if strange is None else strange
+        self.avoid(self.strange)
+
+    def avoid(self, characters: str) -> None:
+        """Leave texts that hold one of these characters (the inside of a character class) to the library.
+
+        Always among them: a sigma, whose lower case depends on its neighbours, and separators that one library takes for white space.
+        """
+        self.avoided = re.compile(f"[\\x1c-\\x1fΣ{characters}]")
+        self.plain: set[str] = set()  # characters seen that are not avoided
+
+    def odd(self, text: str) -> bool:
+        """Whether the library's own way is needed for a text."""
+        fresh = set(text) - self.plain
+        if fresh:
+            strange = {c for c in fresh if self.avoided.match(c)}
+            self.plain |= fresh - strange
+            if strange:
+                return True
+        return not unicodedata.is_normalized("NFC", text) or (self.added is not None and self.added.search(text) is not None)
+
+    def differing(self) -> str:
+        """The characters that the library splits or lower-cases in another way, found by trying every one.
+
+        The libraries may know different versions of Unicode; characters that this one has no meaning for are among them untried.
+        """
+        if self.pattern is None:
+            return ""
+        strange = np.array([unicodedata.category(c) in ("Cn", "Co", "Cs") for c in map(chr, range(sys.maxunicode + 1))])
+        self.avoid(_ranges(strange))
+        known = [c for c in map(chr, np.flatnonzero(~strange).tolist()) if not self.odd(f"a{c}.")]
+        waiting = [known[i : i + 512] for i in range(0, len(known), 512)]
+        while waiting:  # many at a time; a run that differs is halved
+            run = waiting.pop()
+            text = " ".join(f"a{c}." for c in run)
+            if self.ids(text).tolist() == self.tokenizer.encode(text, add_special_tokens=False).ids:
+                continue
+            if len(run) == 1:
+                strange[ord(run[0])] = True
+            else:
+                waiting += [run[: len(run) // 2], run[len(run) // 2 :]]
+        self.matches.clear()
+        return _ranges(strange)
 
     def ids(self, text: str) -> np.ndarray:
-        if self.pattern is None or not unicodedata.is_normalized("NFC", text) or self.odd.search(text):
+        if self.pattern is None or self.odd(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self.matches) > REMEMBERED:
             self.matches.clear()
@@ -103,12 +156,18 @@ class TextIds:
         return np.frombuffer(b"".join(parts), np.uint32)
 
 
+@functools.cache
+def strange_characters(vocabulary: str) -> str:
+    return TextIds(vocabulary).strange
+
+
 def pieces(rows: DataFrame, vocabulary: str, *, id: str = "doc_id", text: str = "text", most: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every piece of every row's ids, the end token included."""
     prepare_workers(rows.sparkSession)
+    strange = strange_characters(vocabulary)
 
     def cut(batches):
-        held = kept(("packing", vocabulary), lambda: TextIds(vocabulary))
+        held = kept(("packing", vocabulary), lambda: TextIds(vocabulary, strange))
         for batch in batches:
             out: list[tuple] = []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

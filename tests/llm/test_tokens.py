@@ -1,6 +1,8 @@
 """SentencePiece, packing, sharding and language-model scores."""
 
 import math
+import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -114,6 +116,53 @@ def test_word_ids_are_the_tokenizer_s(sf_dir, monkeypatch):
     assert other.pattern is None and other.ids("Hello there").tolist() == other.tokenizer.encode("Hello there", add_special_tokens=False).ids
 
 
+def test_word_ids_of_every_character_and_of_random_texts():
+    held = packing.TextIds(P.path("word_bpe_49k.json"))
+    assert packing.TextIds(P.path("word_bpe_49k.json"), held.strange).avoided.pattern == held.avoided.pattern
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(1)
+    pools = [every, every[:0x300], every[:0x3000], [c for c in every if ord(c) < 0x20000 and unicodedata.category(c)[0] in "LMN"], list("aZ ß'sŁl09\t\u0301\u0327Éİ.")]
+    texts = [f"a{c}." for c in every[:0x30000]] + ["".join(rng.choices(rng.choice(pools), k=rng.randint(1, 12))) for _ in range(20_000)]
+    differ = [t for t, ids in zip(texts, reference_ids(texts), strict=True) if held.ids(t).tolist() != ids]
+    assert not differ
+
+
+def plain_best_fit(lengths, cap):
+    """Vector best fit by looking at every sequence that was ever opened."""
+    full = [cap.tokens, cap.documents, cap.attention]
+    need = [[int(n), 1, int(n) ** 2] for n in lengths]
+    left, out = [], [0] * len(need)
+    for i in sorted(range(len(need)), key=lambda i: (-sum(w * x / f for w, x, f in zip(cap.weights, need[i], full, strict=True)), i)):
+        best = None
+        for s, room in enumerate(left):
+            if all(r >= x for r, x in zip(room, need[i], strict=True)):
+                if cap.rule == "dot":
+                    value = -sum(w * (r / f) * (x / f) for w, r, x, f in zip(cap.weights, room, need[i], full, strict=True))
+                else:
+                    value = sum(w * ((r - x) / f) ** 2 for w, r, x, f in zip(cap.weights, room, need[i], full, strict=True))
+                if best is None or value < best[0] - 1e-15:
+                    best = (value, s)
+        if best is None:
+            left.append(list(full))
+        out[i] = best[1] if best else len(left) - 1
+        left[out[i]] = [r - x for r, x in zip(left[out[i]], need[i], strict=True)]
+    return out
+
+
+@pytest.mark.parametrize("cap", [packing.Capacity(), packing.Capacity(4096, 5, 5_000_000), packing.Capacity(4096, 7, 9_000_000, (1.0, 0.3, 0.5), "dot"), packing.Capacity(4096, 3, 4096**2, (0.5, 1.0, 0.0))])
+def test_best_fit_against_a_plain_loop(cap):
+    rng = np.random.default_rng(7)
+    lengths = np.minimum(rng.geometric(0.003, 400), int(cap.attention**0.5))
+    mine, _ = packing.best_fit(lengths, cap)
+    plain = plain_best_fit(lengths, cap)
+    # ties may go to another sequence of the same room: what every sequence holds is compared
+    held = lambda seq: sorted(tuple(sorted(lengths[np.flatnonzero(np.array(seq) == s)])) for s in set(seq))
+    assert held(mine.tolist()) == held(plain)
+    if cap.documents < 9:  # every capacity binds somewhere
+        sizes = [len(h) for h in held(plain)]
+        assert max(sizes) == cap.documents
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_keeps_every_capacity(rule):
     rng = np.random.default_rng(0)
