@@ -10,12 +10,17 @@ little beside the forward pass.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 
 #: Windows convolved at once: the product stays inside a core's cache.
 BLOCK = 16
+#: Windows whose gradients are added up at once.
+SLICE = 2048
+#: Threads that training's convolutions are dealt to.
+THREADS = 4
 
 
 @dataclass
@@ -78,22 +83,32 @@ class Network:
         kernel /= np.sqrt((kernel**2).sum(0, keepdims=True)) * 0.7
         return cls(shape, embed, kernel, np.zeros(shape.features, np.float32), np.zeros((shape.features, shape.classes), np.float32), np.zeros(shape.classes, np.float32))
 
-    def pooled(self, x: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    def pooled(self, x: np.ndarray, places: bool = False, pool: ThreadPoolExecutor | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Each filter's maximum over each window of x (count, window), and where it was attained."""
         s = self.shape
         span = s.window - s.reach + 1
-        out = np.empty((len(x), s.features), np.float32)
+        out = np.empty((len(x), s.features), self.kernel.dtype)
         at = np.empty((len(x), s.features), np.int32) if places else None
-        for lo in range(0, len(x), BLOCK):
-            part = x[lo : lo + BLOCK]
-            flat = self.embed[part].reshape(len(part), s.window * s.dims)
-            rows = np.lib.stride_tricks.as_strided(flat, (len(part), span, s.reach * s.dims), (flat.strides[0], s.dims * 4, 4))
-            seen = (rows.reshape(-1, s.reach * s.dims) @ self.kernel).reshape(len(part), span, s.features)
-            if places:
-                at[lo : lo + BLOCK] = seen.argmax(1)
-                out[lo : lo + BLOCK] = np.take_along_axis(seen, at[lo : lo + BLOCK][:, None], 1)[:, 0]
-            else:
-                out[lo : lo + BLOCK] = seen.max(1)
+
+        def convolve(low: int, high: int) -> None:
+            for lo in range(low, high, BLOCK):
+                part = x[lo : min(high, lo + BLOCK)]
+                hi = lo + len(part)
+                flat = self.embed[part].reshape(len(part), s.window * s.dims)
+                rows = np.lib.stride_tricks.as_strided(flat, (len(part), span, s.reach * s.dims), (flat.strides[0], s.dims * flat.itemsize, flat.itemsize))
+                seen = (rows.reshape(-1, s.reach * s.dims) @ self.kernel).reshape(len(part), span, s.features)
+                if places:
+                    at[lo:hi] = seen.argmax(1)
+                    out[lo:hi] = np.take_along_axis(seen, at[lo:hi][:, None], 1)[:, 0]
+                else:
+                    out[lo:hi] = seen.max(1)
+
+        if pool:
+            edges = np.linspace(0, len(x), THREADS + 1).astype(int)
+            for _ in pool.map(convolve, edges[:-1], edges[1:]):
+                pass
+        else:
+            convolve(0, len(x))
         out += self.bias
         np.maximum(out, 0, out=out)
         return out, at
@@ -119,45 +134,60 @@ class Network:
             lo = hi
         return out
 
-    def fit(self, x: np.ndarray, first: np.ndarray, target: np.ndarray, weight: np.ndarray, *, epochs: int, batch: int, rate: float, decay: float, seed: int, steps: int = 0) -> Network:
-        """x: all windows; first: where each document's windows begin (one more at the end).
+    def gradients(self, x: np.ndarray, counts: np.ndarray, target: np.ndarray, weight: np.ndarray, decay: float, pool: ThreadPoolExecutor | None = None) -> list[np.ndarray]:
+        """Of the weighted mean loss (and decay * |dense|^2 / 2) in embed, kernel, bias, dense and offset.
 
-        Small samples are gone through more often than `epochs` times, until `steps` batches are done.
+        x: the windows of the documents one after another; counts: how many each document has.
+        """
+        s = self.shape
+        lead = np.cumsum(counts) - counts
+        seen, at = self.pooled(x, places=True, pool=pool)
+        mean = np.add.reduceat(seen, lead, axis=0) / counts[:, None]
+        p = softmax(mean @ self.dense + self.offset)
+        p[np.arange(len(target)), target] -= 1
+        g = (p * (weight / weight.sum())[:, None]).astype(self.dense.dtype)
+        push = (g @ self.dense.T) / counts[:, None]
+        own = np.repeat(np.arange(len(counts)), counts)
+        # What every byte at every tap of a filter has passed back: both the filters' and the bytes' gradients are products of it.
+        pairs = s.features * s.reach
+        spots = np.arange(pairs).reshape(s.features, s.reach)
+        passed, gb = np.zeros(256 * pairs), np.zeros_like(self.bias)
+        for lo in range(0, len(x), SLICE):
+            part = x[lo : lo + SLICE]
+            back = push[own[lo : lo + SLICE]] * (seen[lo : lo + SLICE] > 0)
+            codes = part[np.arange(len(part))[:, None, None], at[lo : lo + SLICE, :, None] + np.arange(s.reach)]  # (windows, features, reach)
+            passed += np.bincount((codes * np.int64(pairs) + spots).reshape(-1), np.repeat(back.reshape(-1), s.reach), 256 * pairs)
+            gb += back.sum(0)
+        passed = passed.reshape(256, pairs)
+        gk = (self.embed.T @ passed).reshape(s.dims, s.features, s.reach).transpose(2, 0, 1).reshape(self.kernel.shape) * shape_mask(s)
+        ge = passed @ self.kernel.reshape(s.reach, s.dims, s.features).transpose(2, 0, 1).reshape(pairs, s.dims)
+        ge[0] = 0
+        return [ge.astype(self.embed.dtype), gk.astype(self.kernel.dtype), gb, mean.T.astype(self.dense.dtype) @ g + decay * self.dense, g.sum(0)]
+
+    def fit(self, texts: list[bytes], target: np.ndarray, weight: np.ndarray, *, epochs: int, batch: int, rate: float, decay: float, seed: int, steps: int = 0, visits: int = 0) -> Network:
+        """Learn from the whole of every text, in minibatches of documents.
+
+        Small samples are gone through more often than `epochs` times, until `steps` batches are done or `visits` windows seen.
         """
-        epochs = max(epochs, -(-steps // -(-len(target) // batch)))
-        s, rng = self.shape, np.random.default_rng(seed)
+        rng = np.random.default_rng(seed)
+        buffer, starts, first = cut(texts, self.shape)
+        epochs = max(epochs, min(-(-steps // -(-len(target) // batch)), -(-visits // len(starts))))
         held = [self.embed, self.kernel, self.bias, self.dense, self.offset]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in held]
-        mask, step, total = shape_mask(s), 0, max(1, epochs * -(-len(target) // batch))
-        taps = np.arange(s.reach)
-        for _ in range(epochs):
-            for ids in np.array_split(order := rng.permutation(len(target)), max(1, -(-len(order) // batch))):
-                counts = np.diff(first)[ids]
-                own = np.repeat(np.arange(len(ids)), counts)
-                lead = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                part = x[np.repeat(first[ids] - lead, counts) + np.arange(counts.sum())]
-                seen, at = self.pooled(part, places=True)
-                mean = np.add.reduceat(seen, lead, axis=0) / counts[:, None]
-                p = softmax(mean @ self.dense + self.offset)
-                p[np.arange(len(ids)), target[ids]] -= 1
-                g = (p * (weight[ids] / weight[ids].sum())[:, None]).astype(np.float32)
-                back = ((g @ self.dense.T) / counts[:, None])[own] * (seen > 0)
-                codes = part[np.arange(len(part))[:, None, None], at[:, :, None] + taps]  # (windows, features, reach)
-                kernel = self.kernel.reshape(s.reach, s.dims, s.features)
-                gk = np.einsum("nf,nfkd->kdf", back, self.embed[codes], optimize=True).reshape(self.kernel.shape) * mask
-                ge = np.zeros_like(self.embed)
-                push = back[:, :, None, None] * kernel.transpose(2, 0, 1)[None]
-                flat = push.reshape(-1, s.dims)
-                for d in range(s.dims):
-                    ge[:, d] = np.bincount(codes.reshape(-1), flat[:, d], 256)
-                ge[0] = 0
-                grads = [ge, gk, back.sum(0), mean.T.astype(np.float32) @ g + decay * self.dense, g.sum(0)]
-                step += 1
-                now = rate * min(1, step / 30) * (1 - 0.9 * step / total)
-                for q, d, (m, v) in zip(held, grads, moments, strict=True):
-                    m += 0.1 * (d - m)
-                    v += 0.01 * (d * d - v)
-                    q -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        step, total = 0, max(1, epochs * -(-len(target) // batch))
+        with ThreadPoolExecutor(THREADS) as pool:
+            for _ in range(epochs):
+                for ids in np.array_split(order := rng.permutation(len(target)), max(1, -(-len(order) // batch))):
+                    counts = np.diff(first)[ids]
+                    lead = np.cumsum(counts) - counts
+                    places = np.repeat(first[ids] - lead, counts) + np.arange(counts.sum())
+                    grads = self.gradients(windows(buffer, starts[places], self.shape), counts, target[ids], weight[ids], decay, pool)
+                    step += 1
+                    now = rate * min(1, step / 30) * (1 - 0.9 * step / total)
+                    for q, d, (m, v) in zip(held, grads, moments, strict=True):
+                        m += 0.1 * (d - m)
+                        v += 0.01 * (d * d - v)
+                        q -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
 

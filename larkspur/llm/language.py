@@ -26,16 +26,21 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """per_language and languages bound the training sample; they bound nothing else."""
+    """per_language and rows bound the labelled rows that are learned from; they bound nothing else.
 
-    per_language: int = 900
-    languages: int = 200
-    windows: int = 4
+    Every language is learned from per_language rows, or rows / languages where that is less, and
+    every such text is read whole.  The filters grow with the number of languages.
+    """
+
+    per_language: int = 600
+    rows: int = 40_000
     window: int = 256
     filters: int = 10
+    languages_per_filter: int = 8
     widths: tuple[int, ...] = (2, 3, 4, 5)
-    steps: int = 800
-    epochs: int = 5
+    steps: int = 500
+    visits: int = 100_000
+    epochs: int = 3
     seed: int = 11
 
 
@@ -45,25 +50,20 @@ class Model:
     network: bytecnn.Network | None
 
 
-def train(rows: DataFrame, settings: Settings = Settings(), *, text: str = "text", lang: str = "lang") -> Model:
-    """Learn from rows whose lang is not null."""
-    usable = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rates = sampling.class_rates(usable.select("lang"), "lang", settings.per_language, settings.languages)
-    keyed = usable.withColumn("key", sampling.order_key(F.col("text")))
-    kept = keyed.join(F.broadcast(rates), "lang").where(F.col("key") <= F.col("limit"))
-    shape = bytecnn.Shape(classes=2, window=settings.window, widths=settings.widths, filters=settings.filters)
-    labels, windows = sampling.gather(kept, "key", "lang", "text", shape, windows=settings.windows, rows_most=2 * settings.per_language * min(settings.languages, 50))
+def train(rows: DataFrame, settings: Settings = Settings(), *, text: str = "text", lang: str = "lang", tie: tuple[str, ...] = ()) -> Model:
+    """Learn from rows whose lang and text are not null; tie: further columns by which copies of a text are told apart when rows are drawn."""
+    usable = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), *tie)
+    labels, texts = sampling.class_sample(usable, "lang", "text", settings.per_language, settings.rows, *tie)
     languages = sorted(set(labels))
     if not languages:
         return Model([], None)
-    more_labels, more = sampling.crops(labels, windows, settings.seed)
-    labels, windows = labels + more_labels, windows + more
-    shape = bytecnn.Shape(classes=len(languages), window=settings.window, widths=settings.widths, filters=settings.filters)
-    x, first = sampling.matrix(windows, shape)
+    more_labels, more = sampling.crops(labels, texts, settings.seed)
+    labels, texts = labels + more_labels, texts + more
+    shape = bytecnn.Shape(classes=len(languages), window=settings.window, widths=settings.widths, filters=settings.filters + len(languages) // settings.languages_per_filter)
     place = {name: i for i, name in enumerate(languages)}
     target = np.array([place[name] for name in labels])
     weight = 1 / np.bincount(target, minlength=len(languages))[target]
-    network = bytecnn.Network.fresh(shape, settings.seed).fit(x, first, target, weight, epochs=settings.epochs, batch=32, rate=0.01, decay=1e-4, steps=settings.steps, seed=settings.seed)
+    network = bytecnn.Network.fresh(shape, settings.seed).fit(texts, target, weight, epochs=settings.epochs, batch=32, rate=0.01, decay=1e-4, steps=settings.steps, visits=settings.visits, seed=settings.seed)
     return Model(languages, network)
 
 

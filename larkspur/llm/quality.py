@@ -24,15 +24,15 @@ from larkspur.llm.common import prepare_workers, release
 
 @dataclass(frozen=True)
 class Settings:
-    """per_class bounds the labelled rows that are learned from; it bounds nothing else."""
+    """per_class bounds the labelled rows that are learned from; it bounds nothing else: their texts are read whole."""
 
-    per_class: int = 2500
-    windows: int = 8
+    per_class: int = 1500
     window: int = 256
     filters: int = 12
     widths: tuple[int, ...] = (2, 3, 4, 5)
-    steps: int = 1500
-    epochs: int = 6
+    steps: int = 900
+    visits: int = 200_000
+    epochs: int = 4
     crop_weight: float = 0.5
     clean_weight: float = 2.0
     seed: int = 7
@@ -44,16 +44,15 @@ class Settings:
 
 def train(rows: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, id: str = "doc_id", text: str = "text", label: str = "quality") -> bytecnn.Network | None:
     """Learn from rows whose label in the table `labels` (id, label) is 0 or 1; other labels are passed over."""
-    found, windows = sampling.labelled_windows(rows, labels, id, text, label, settings.per_class, settings.windows, settings.shape)
+    found, texts = sampling.labelled_texts(rows, labels, id, text, label, settings.per_class)
     if len(set(found)) < 2:
         return None
-    more_labels, more = sampling.crops(found, windows, settings.seed)
+    more_labels, more = sampling.crops(found, texts, settings.seed)
     target = np.array(found + more_labels)
-    x, first = sampling.matrix(windows + more, settings.shape)
     weight = np.where(np.arange(len(target)) < len(found), 1.0, settings.crop_weight)
     weight /= np.bincount(target, weight, 2)[target]
     weight = np.where(target == 1, settings.clean_weight, 1.0) * weight
-    return bytecnn.Network.fresh(settings.shape, settings.seed).fit(x, first, target, weight, epochs=settings.epochs, batch=32, rate=0.01, decay=1e-4, steps=settings.steps, seed=settings.seed)
+    return bytecnn.Network.fresh(settings.shape, settings.seed).fit(texts + more, target, weight, epochs=settings.epochs, batch=32, rate=0.01, decay=1e-4, steps=settings.steps, visits=settings.visits, seed=settings.seed)
 
 
 def score(rows: DataFrame, network: bytecnn.Network | None, *, text: str = "text", score_out: str = "score") -> DataFrame:

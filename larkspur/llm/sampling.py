@@ -1,4 +1,4 @@
-"""Bounded labelled samples for the classifiers.
+"""Bounded labelled samples for the classifiers: only the number of rows is bounded, their texts are whole.
 
 Only training reads them; every score is computed over all rows and whole texts.
 """
@@ -6,44 +6,36 @@ Only training reads them; every score is computed over all rows and whole texts.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm import bytecnn
-
 
 def order_key(*columns: Column) -> Column:
     """A fixed pseudo-random order of rows: it depends on their values alone."""
     return F.xxhash64(*columns, F.lit(20_011))
 
 
-def class_rates(rows: DataFrame, label: str, per_class: int, classes: int) -> DataFrame:
-    """For each of the most frequent labels, the highest order key that a sampled row may have.
+def class_sample(rows: DataFrame, label: str, text: str, per_class: int, most: int, *tie: str) -> tuple[list, list[bytes]]:
+    """Labels and whole texts of min(per_class, most / labels) rows of every label, of all its rows where there are fewer.
 
-    About per_class rows of a class stay below its limit; the table has at most `classes` rows.
+    The rows are those with the lowest hashes of `tie` and the text.  Where there are more than
+    `most` labels, one row of each of the `most` most frequent is taken.
     """
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(classes)
-    share = F.least(F.lit(1.0), F.lit(float(per_class)) / F.col("n"))
-    return counts.select(label, F.when(share >= 1, F.lit(2**63 - 1)).otherwise(((share * 2 - 1) * F.lit(2.0**63)).cast("long")).alias("limit"))
-
-
-def windows_of(text: Column, shape: bytecnn.Shape, count: int) -> Column:
-    """Up to `count` windows of the text's bytes, evenly spaced from its start to its end."""
-    raw = F.coalesce(text, F.lit("")).cast("binary")
-    size = F.octet_length(raw)
-    rest = F.greatest(F.lit(0), size - F.lit(shape.window))
-    number = F.least(F.lit(count), F.greatest(F.lit(1), F.ceil(size / F.lit(shape.stride)))).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), number - 1),
-        lambda j: F.substring(raw, (F.lit(1) + F.floor(rest * j / F.greatest(number - 1, F.lit(1)))).cast("int"), F.lit(shape.window)),
-    )
-
-
-def gather(rows: DataFrame, key: str, label: str, text: str, shape: bytecnn.Shape, *, windows: int, rows_most: int) -> tuple[list, list[list[bytes]]]:
-    """Labels and windows of at most rows_most rows, those with the lowest keys: rows_most * windows * window bytes at most."""
-    picked = rows.select(key, label, windows_of(F.col(text), shape, windows).alias("windows")).orderBy(key).limit(rows_most)
-    held = picked.collect()
-    return [r[label] for r in held], [[bytes(w) for w in r["windows"]] for r in held]
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    classes = counts.count()
+    if not classes:
+        return [], []
+    share = max(1, min(per_class, most // classes))
+    # So many rows of a label are looked at that chance leaves `share` of them: then the exact number is cut.
+    looked = share + 8 * share**0.5 + 16
+    rate = F.lit(float(looked)) / F.col("n")
+    limits = counts.orderBy(F.desc("n"), label).limit(most).select(label, F.when(rate >= 1, F.lit(2**63 - 1)).otherwise(((rate * 2 - 1) * F.lit(2.0**63)).cast("long")).alias("limit"))
+    keyed = rows.withColumn("key", order_key(*map(F.col, tie), F.col(text)))
+    near = keyed.join(F.broadcast(limits), label).where(F.col("key") <= F.col("limit"))
+    place = F.row_number().over(Window.partitionBy(label).orderBy("key", text))
+    held = near.withColumn("place", place).where(F.col("place") <= share).select("key", label, F.col(text).cast("binary").alias("text")).collect()
+    held.sort(key=lambda r: (r["key"], r[label], bytes(r["text"])))
+    return [r[label] for r in held], [bytes(r["text"]) for r in held]
 
 
 def labelled_ids(labels: DataFrame, id: str, label: str, per_class: int) -> DataFrame:
@@ -54,18 +46,29 @@ def labelled_ids(labels: DataFrame, id: str, label: str, per_class: int) -> Data
     return picked[0].unionAll(picked[1]).drop("key")
 
 
-def labelled_windows(rows: DataFrame, labels: DataFrame, id: str, text: str, label: str, per_class: int, windows: int, shape: bytecnn.Shape) -> tuple[list[int], list[list[bytes]]]:
-    """Windows of the rows of a bounded sample of labels; the ids go to the rows, so that no text is moved."""
-    ids = F.broadcast(labelled_ids(labels, id, label, per_class))
-    held = rows.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(ids, "id")
-    return gather(held.withColumn("key", order_key(F.col("id"), F.col("text"))), "key", "label", "text", shape, windows=windows, rows_most=2 * per_class)
+def labelled_rows(rows: DataFrame, ids: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, label, text) of every one of the ids that rows has; the ids go to the rows, so that only the sample is moved.
 
+    Of an id that comes with several texts, the one with the lowest hash is taken.
+    """
+    held = rows.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "id")
+    return held.groupBy("id", "label").agg(F.min_by("text", order_key(F.col("text"))).alias("text"))
 
-def crops(labels: list, windows: list[list[bytes]], seed: int, least: int = 12, most: int = 160) -> tuple[list, list[list[bytes]]]:
-    """One short cut of each row, starting and ending at a space where there is one: short texts are rare in a sample."""
+
+def labelled_texts(rows: DataFrame, labels: DataFrame, id: str, text: str, label: str, per_class: int) -> tuple[list[int], list[bytes]]:
+    """Labels and whole texts of at most per_class ids of each of the labels 0 and 1."""
+    held = labelled_rows(rows, labelled_ids(labels, id, label, per_class), id, text)
+    picked = held.select(order_key(F.col("id"), F.col("text")).alias("key"), "label", F.col("text").cast("binary").alias("text")).collect()
+    got = sorted((r["key"], r["label"], bytes(r["text"])) for r in picked)
+    return [label for _, label, _ in got], [text for _, _, text in got]
+
+
+def crops(labels: list, texts: list[bytes], seed: int, least: int = 12, most: int = 160, reach: int = 256) -> tuple[list, list[bytes]]:
+    """One short cut of each text, starting and ending at a space where there is one: short texts are rare in a sample."""
     rng, more_labels, more = np.random.default_rng(seed), [], []
-    for label, own in zip(labels, windows, strict=True):
-        piece = own[rng.integers(len(own))]
+    for label, own in zip(labels, texts, strict=True):
+        at = int(rng.integers(0, max(1, len(own) - reach + 1)))
+        piece = own[at : at + reach]
         size = int(rng.integers(least, most))
         words = piece.split(b" ")
         if len(piece) <= size or len(words) < 4:
@@ -75,11 +78,5 @@ def crops(labels: list, windows: list[list[bytes]], seed: int, least: int = 12,
         cut = cut[: cut.rindex(b" ")] if b" " in cut else cut
         if len(cut) >= least:
             more_labels.append(label)
-            more.append([cut])
+            more.append(cut)
     return more_labels, more
-
-
-def matrix(windows: list[list[bytes]], shape: bytecnn.Shape) -> tuple[np.ndarray, np.ndarray]:
-    flat = [w[: shape.window].ljust(shape.window, b"\0") for own in windows for w in own]
-    first = np.concatenate([[0], np.cumsum([len(own) for own in windows])]).astype(np.int64)
-    return np.frombuffer(b"".join(flat), np.uint8).reshape(-1, shape.window), first

@@ -74,14 +74,18 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Settings:
-    """toxic and clean bound the labelled rows that are learned from; they bound nothing else."""
+    """toxic and clean bound the labelled rows that are learned from; they bound nothing else.
+
+    The entries and phrases have no bound of their own: they are words of those rows.
+    """
 
     toxic: int = 3000
     clean: int = 12000
     stem_least: int = 4
     stem_most: int = 8
-    entries: int = 5000
+    phrase_least: int = 3  # clean rows that an exception phrase must occur in
     explained: float = 0.7  # what a document counts for after each entry found in it
+    odds: float = 4.0  # how many times commoner in toxic rows an entry must be
     doubt: float = 0.05  # expected number of entries that chance would add
     powers: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)
     phrases: tuple[str, ...] = ()  # further exception phrases
@@ -159,28 +163,35 @@ def _log10_tail(k: int, n: int, p: float) -> float:
     return (lead + math.log(total)) / math.log(10)
 
 
-def select_entries(counts: list[tuple[str, int, int]], toxic: int, clean: int, tested: int, settings: Settings) -> dict[str, float]:
-    """Terms that chance does not explain, the longest form of each that loses no toxic document."""
-    by_term = {term: (p, n) for term, p, n in counts}
-    share = toxic / (toxic + clean)
-    limit = math.log10(settings.doubt / max(1, tested))
-    sure = {}
-    for term, (p, n) in by_term.items():
-        if p / toxic > 4 * (n + 0.5) / clean and _log10_tail(p, p + n, share) < limit:
-            sure[term] = math.log((p + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
-    longer: dict[str, int] = {}
-    for term, (p, _) in by_term.items():
-        cut = term[:-1]
-        longer[cut] = max(longer.get(cut, 0), p)
-    closed = {t: w for t, w in sure.items() if t.endswith(" ") or longer.get(t, 0) < by_term[t][0]}
+def testable(rows_of: dict[int, int], share: float, doubt: float) -> tuple[int, int]:
+    """The fewest toxic documents that can make a term an entry, and how many terms have as many.
+
+    rows_of: how many terms occur in each number of toxic documents.  A term of k toxic documents comes
+    by chance with share ** k or more; those that could not stand the test of all terms of their support
+    need not be tested, nor count among the tests.
+    """
+    left, least = sum(rows_of.values()), 1
+    while left and math.log10(left) + least * math.log10(share) > math.log10(doubt):
+        left -= rows_of.get(least, 0)
+        least += 1
+    return least, left
+
+
+def select_entries(sure: list[tuple[str, int, int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """Of the terms that chance does not explain, the longest form of each that loses no toxic document.
+
+    sure: term, its toxic and clean documents, and the toxic documents of the longer term that has most.
+    """
+    support = {term: p for term, p, _, _ in sure}
+    closed = {t: math.log((p + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1)) for t, p, n, longer in sure if t.endswith(" ") or longer < p}
     kept: dict[str, float] = {}
     covered: dict[str, int] = {}
     for term in sorted(closed, key=lambda t: (-closed[t], len(t), t)):
-        if any(term[:n] in kept for n in range(2, len(term))) or covered.get(term, 0) > 0.8 * by_term[term][0]:
+        if any(term[:n] in kept for n in range(2, len(term))) or covered.get(term, 0) > 0.8 * support[term]:
             continue
         kept[term] = closed[term]
         for n in range(2, len(term)):
-            covered[term[:n]] = covered.get(term[:n], 0) + by_term[term][0]
+            covered[term[:n]] = covered.get(term[:n], 0) + support[term]
     return kept
 
 
@@ -201,7 +212,7 @@ def unexplained(entries: dict[str, float], counts: dict[str, tuple[int, int]], f
         places = where.get(term, [])
         support = int(left[places].sum())
         clean_count = counts[term][1]
-        if support and support / len(found) > 4 * (clean_count + 0.5) / clean and _log10_tail(support, support + clean_count, share) < limit:
+        if support and support / len(found) > settings.odds * (clean_count + 0.5) / clean and _log10_tail(support, support + clean_count, share) < limit:
             kept[term] = entries[term]
             left[places] *= settings.explained
     return kept
@@ -212,9 +223,7 @@ def train(rows: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
     prepare_workers(rows.sparkSession)
     toxic_ids = sampling.labelled_ids(labels, id, label, settings.toxic).where("label = 1")
     clean_ids = sampling.labelled_ids(labels, id, label, settings.clean).where("label = 0")
-    ids = F.broadcast(toxic_ids.unionAll(clean_ids))
-    held = rows.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(ids, "id")
-    sample = materialise(held.select("label", "text"), "toxicity-sample")
+    sample = materialise(sampling.labelled_rows(rows, toxic_ids.unionAll(clean_ids), id, text).select("label", "text"), "toxicity-sample")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -234,13 +243,22 @@ def train(rows: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
         terms = list(held[0].keys() | held[1].keys())
         return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([held[1][t] for t in terms], pa.int64()), pa.array([held[0][t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
-    counted = materialise(sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic > 2"), "terms")
-    tested = counted.count()
-    odds = counted.where(F.col("toxic") / F.lit(toxic) > 4 * (F.col("clean") + 0.5) / F.lit(clean))
-    top = odds.orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1)), "term").limit(20 * settings.entries).collect()
-    counts = {r["term"]: (r["toxic"], r["clean"]) for r in top}
-    lexicon = Lexicon(entries=select_entries([(t, p, n) for t, (p, n) in counts.items()], toxic, clean, tested, settings))
-    lexicon.entries = dict(sorted(lexicon.entries.items(), key=lambda e: -e[1])[: settings.entries])
+    counted = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = materialise(counted.where("toxic > 0"), "terms")
+    share = toxic / (toxic + clean)
+    least, tested = testable({r["toxic"]: r["n"] for r in counted.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}, share, settings.doubt)
+    limit = math.log10(settings.doubt / max(1, tested))
+
+    def test(batches):
+        for batch in batches:
+            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            yield batch.filter(pa.array([_log10_tail(p, p + n, share) < limit for p, n in pairs], pa.bool_()))
+
+    longer = counted.groupBy(F.expr("substring(term, 1, length(term) - 1)").alias("term")).agg(F.max("toxic").alias("longer"))
+    able = counted.where((F.col("toxic") >= least) & (F.col("toxic") / F.lit(toxic) > settings.odds * (F.col("clean") + 0.5) / F.lit(clean))).join(longer, "term", "left")
+    sure = able.select("term", "toxic", "clean", F.coalesce("longer", F.lit(0)).alias("longer")).mapInArrow(test, "term string, toxic long, clean long, longer long").collect()
+    counts = {r["term"]: (r["toxic"], r["clean"]) for r in sure}
+    lexicon = Lexicon(entries=select_entries([tuple(r) for r in sure], toxic, clean))
     names = list(lexicon.entries)
 
     def present(batches):
@@ -253,9 +271,10 @@ def train(rows: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["found"])
 
     toxic_rows = sample.where("label = 1").select("text").distinct()
-    found = [[names[i] for i in r["found"]] for r in toxic_rows.mapInArrow(present, "found array<int>").orderBy("found").limit(settings.toxic).collect()]
+    found = [[names[i] for i in r["found"]] for r in toxic_rows.mapInArrow(present, "found array<int>").collect()]
+    found.sort()
     lexicon.entries = unexplained(lexicon.entries, counts, found, clean, tested, settings)
-    lexicon.exceptions = tuple(dict.fromkeys([fold(p) for p in settings.phrases] + _exceptions(sample, lexicon, clean / toxic)))
+    lexicon.exceptions = tuple(dict.fromkeys([fold(p) for p in settings.phrases] + _exceptions(sample, lexicon, clean / toxic, settings.phrase_least)))
 
     def measure(batches):
         automaton = lexicon.automaton()
@@ -263,11 +282,11 @@ def train(rows: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
             found = [lexicon.measure(automaton, own) for own in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], ["label", "weight", "length"])
 
-    measured = sample.mapInArrow(measure, "label int, weight double, length long").orderBy("label", "weight", "length").limit(2 * (settings.toxic + settings.clean)).collect()
+    measured = sample.mapInArrow(measure, "label int, weight double, length long").orderBy("label", "weight", "length").collect()
     return calibrate(lexicon, np.array([r["label"] for r in measured]), np.array([r["weight"] for r in measured]), np.array([r["length"] for r in measured]), settings)
 
 
-def _exceptions(sample: DataFrame, lexicon: Lexicon, odds: float) -> list[str]:
+def _exceptions(sample: DataFrame, lexicon: Lexicon, odds: float, least: int) -> list[str]:
     """Two-word phrases around hits that are far commoner in clean documents than in toxic ones."""
 
     def phrases(batches):
@@ -292,7 +311,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, odds: float) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["phrase", "clean", "toxic"])
 
     found = sample.mapInArrow(phrases, "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    good = found.where((F.col("clean") >= 3) & (F.col("clean") > 8 * odds * F.col("toxic"))).orderBy(F.desc("clean"), "phrase").limit(2000)
+    good = found.where((F.col("clean") >= least) & (F.col("clean") > 8 * odds * F.col("toxic"))).orderBy(F.desc("clean"), "phrase")
     return [r["phrase"] for r in good.collect()]
 
 
