@@ -103,6 +103,24 @@ def drop_table(df: DataFrame) -> None:
             _delete(df.sparkSession, folder)
 
 
+#: Rows with one key that a shuffle may bring to one task, and keys that are broadcast at most because they have more.
+HOT_ROWS = 1000
+HOT_KEYS = 200_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows joined with table, which has a row for each key and in `size` the number of rows that share it.
+
+    Keys of more than HOT_ROWS rows are few and are broadcast, so that no task gets all rows of one; beyond
+    HOT_KEYS of them, where no single one weighs much, all go through the shuffle.
+    """
+    hot = table.where(F.col(size) > HOT_ROWS)
+    if hot.limit(HOT_KEYS + 1).count() > HOT_KEYS:
+        return rows.join(table, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(cold.join(table.where(F.col(size) <= HOT_ROWS), keys))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     held = {c.lower() for c in df.columns}

@@ -12,16 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import drop_table, materialise
-
-MOST_ROUNDS = 100
+from larkspur.llm.common import drop_table, join_counted, materialise
 
 
 def _star(pairs: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """pairs (u, v) with every u's smallest neighbour-or-self; the minima are a table of their own,
-    so that the join's shuffles can be split where one node has very many neighbours."""
-    least = materialise(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), label)
-    return pairs.join(least, "u"), least
+    so that a node with very many neighbours fills no task."""
+    least = materialise(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), label)
+    return join_counted(pairs, least, ["u"], "n"), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,9 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     kept = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     now = materialise(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
-    for _ in range(MOST_ROUNDS):
-        if mark[0] == 0:
-            break
+    while mark[0]:  # every round brings the edges nearer to stars, which a round leaves as they are
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         starred, least = _star(both, "least")
         large = materialise(starred.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -48,8 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
         now, settled, mark = then, after == mark, after
         if settled:
             break
-    else:
-        raise RuntimeError(f"the components of the edges did not settle in {MOST_ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 

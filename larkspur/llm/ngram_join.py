@@ -10,6 +10,10 @@
    every shingle of it that is not shared, which bounds the overlap.
 4. The groups are expanded and the members' whole sets are compared exactly.
 
+Keys that very many rows share never fill a task: they are broadcast, or dealt
+into parts that meet in pairs.  Members of a run meet only within the sizes that
+can link.
+
 Only connections are asked for, so a first round compares every group with one
 partner (its best among the busiest groups that share a shingle with it), the
 components of the links found are merged, and a second round compares every
@@ -26,14 +30,15 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import words
-from larkspur.llm.common import drop_table, materialise, prepare_workers, release
+from larkspur.llm.common import HOT_ROWS, drop_table, join_counted, materialise, prepare_workers, release
 from larkspur.llm.components import components
 
 BUCKETS = 1 << 20
@@ -159,8 +164,16 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, id: str, tex
     wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = materialise(classes.select("cid", "id", "k1", "k2").join(wanted, "cid"), "wanted")
     sets = materialise(whole_sets(rows, id, text, wanted, rule.words), "sets")
-    left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
+    # A class of very many pairs is dealt into parts, each with a copy of its set.
+    sizes = {side: materialise(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("size")), f"ends-{side}") for side in ("a", "b")}
+    parts = F.ceil(F.col("size") / F.lit(HOT_ROWS)).cast("int")
+    dealt = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        dealt = join_counted(dealt, sizes[side], [side], "size").withColumn(f"part_{side}", F.pmod(F.xxhash64(other), parts).cast("int")).drop("size")
+    held = materialise(dealt, "dealt")
+    for side in ("a", "b"):
+        own = sets.select(F.col("cid").alias(side), F.col("shingles").alias(f"s{side}")).join(sizes[side], side)
+        held = held.join(own.withColumn(f"part_{side}", F.explode(F.sequence(F.lit(0), parts - 1))).drop("size"), [side, f"part_{side}"])
 
     def compare(batches):
         for batch in batches:
@@ -173,7 +186,7 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, id: str, tex
                 keep.append(rule.over * both >= rule.under * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
+    found = materialise(held.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
     drop_table(sets)
     return found
 
@@ -183,25 +196,26 @@ def link(rows: DataFrame, rule: Threshold = Threshold(), *, id: str = "doc_id",
     prepare_workers(rows.sparkSession)
     described = materialise(profiles(rows, id, text, rule), "profiles")
     some = described.where(F.col("n") > 0)
-    classes = materialise(some.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = materialise(some.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = classes.select("cid", "n", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit(1), "prefix").alias("p2"))
     grouped = members.groupBy("n", "p1", "p2").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("size"))
     groups = materialise(grouped.select("gid", "n", "size", "p1", "p2"), "groups")
-    in_groups = materialise(members.join(groups.where("size > 1"), ["n", "p1", "p2"]).select("cid", "gid"), "members")
+    in_groups = materialise(join_counted(members, groups.where("size > 1"), ["n", "p1", "p2"], "size").select("cid", "gid"), "members")
 
     leaders = classes.join(groups.select(F.col("gid").alias("cid")), "cid")
-    postings = leaders.select(F.posexplode("prefix").alias("place", "token"), F.col("cid").alias("gid"))
-    runs = materialise(postings.select("token", "gid", "place", F.count(F.lit(1)).over(Window.partitionBy("token")).alias("run")).where("run > 1"), "runs")
+    postings = materialise(leaders.select(F.posexplode("prefix").alias("place", "token"), F.col("cid").alias("gid")), "postings")
+    counts = materialise(postings.groupBy("token").agg(F.count(F.lit(1)).alias("run")).where("run > 1"), "counts")
+    runs = materialise(join_counted(postings, counts, ["token"], "run").select("token", "gid", "place", "run"), "runs")
+    drop_table(postings)
 
     # First round: the busiest group of each run, then for every group its best partner among those.
     busy = runs.groupBy("gid").agg(F.sum("run").alias("busy"))
-    placed = runs.join(busy, "gid")
-    pivots = placed.groupBy("token").agg(F.max(F.struct("busy", "gid")).getField("gid").alias("pivot"))
-    near = runs.join(pivots, "token").where("gid != pivot").groupBy("gid", "pivot").agg(F.count(F.lit(1)).alias("shared"))
-    extent = classes.select("n", F.size("prefix").alias("p"), F.col("cid").alias("gid"))
-    sized = near.join(extent.select("gid", F.col("n").alias("x_n"), F.col("p").alias("x_p")), "gid")
-    sized = sized.join(extent.select(F.col("gid").alias("pivot"), F.col("n").alias("y_n"), F.col("p").alias("y_p")), "pivot")
-    near = sized.where(may_link(rule))
+    extent = classes.select(F.col("cid").alias("gid"), "n", F.size("prefix").alias("p"))
+    placed = runs.join(busy, "gid").join(extent, "gid")
+    chosen = placed.groupBy("token").agg(F.max(F.struct("busy", "gid", "n", "p")).alias("best"), F.first("run").alias("run"))
+    pivots = materialise(chosen.select("token", "run", F.col("best.gid").alias("pivot"), F.col("best.n").alias("y_n"), F.col("best.p").alias("y_p")), "pivots")
+    near = join_counted(runs.drop("run"), pivots, ["token"], "run").where("gid != pivot").groupBy("gid", "pivot", "y_n", "y_p").agg(F.count(F.lit(1)).alias("shared"))
+    near = near.join(extent.select("gid", F.col("n").alias("x_n"), F.col("p").alias("x_p")), "gid").where(may_link(rule))
     best = near.groupBy("gid").agg(F.max(F.struct("shared", "pivot")).getField("pivot").alias("pivot"))
     chain = in_groups.where("cid != gid").select(F.col("cid").alias("a"), F.col("gid").alias("b"))
     stars = best.select(F.col("gid").alias("a"), F.col("pivot").alias("b")).unionAll(chain)
@@ -214,11 +228,12 @@ def link(rows: DataFrame, rule: Threshold = Threshold(), *, id: str = "doc_id",
     more = verified(rest, classes, rows, id, text, rule)
     final = components(found.unionAll(more))
 
-    named = classes.select("cid", "id", "k1", "k2").join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = named.groupBy("component").agg(F.min("id").alias("least"))
-    of_class = materialise(named.join(least, "component").select("k1", "k2", "least"), "named")
-    out = described.select("id", "n", "k1", "k2").join(of_class, ["k1", "k2"], "left")
-    return out.select(F.col("id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component"))
+    named = materialise(classes.select("cid", "id", "k1", "k2", "copies").join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "classes-named")
+    least = materialise(named.groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")), "least")
+    of_class = materialise(join_counted(named, least, ["component"], "size").select("k1", "k2", "least", "copies"), "named")
+    linked = join_counted(some.select("id", "n", "k1", "k2"), of_class, ["k1", "k2"], "copies").select("id", "n", "least")
+    alone = described.where(F.col("n") == 0).select("id", "n", F.col("id").alias("least"))
+    return linked.unionAll(alone).select("id", F.col("n").alias("n_shingles"), F.col("least").alias("component"))
 
 
 def may_link(rule: Threshold) -> Column:
@@ -238,26 +253,37 @@ def candidates(runs: DataFrame, groups: DataFrame, in_groups: DataFrame, label:
     of_group = in_groups.join(label, "cid").groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     state = groups.select("gid", "n").join(label.select(F.col("cid").alias("gid"), "component"), "gid").join(of_group, "gid", "left")
     state = state.select("gid", "n", F.when(F.col("low") != F.col("high"), F.lit(NEVER)).otherwise(F.col("component")).alias("component"))
-    entries = materialise(runs.select("token", "gid", "place").join(state, "gid"), "entries")
-    mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where((F.col("low") != F.col("high")) | (F.col("low") == NEVER)).select("token")
-    open_runs = entries.join(mixed, "token", "left_semi")
-    x = open_runs.select("token", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "component", "place")])
-    y = open_runs.select("token", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "component", "place")])
+    entries = materialise(runs.join(state, "gid"), "entries")
+    mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("run").alias("run")).where((F.col("low") != F.col("high")) | (F.col("low") == NEVER))
+    open_runs = join_counted(entries.drop("run"), materialise(mixed.select("token", "run"), "mixed"), ["token"], "run")
+    # Sets that link have sizes of one step of the scale, or of two that follow each other; a long run is dealt
+    # into parts that meet in pairs, so that a task has some rows of either side.
+    step = F.floor(F.log(F.col("n")) / F.lit(log(max(1.0, rule.over / rule.under) * 1.0001))).cast("int")
+    parts = F.ceil(F.col("run") / F.lit(HOT_ROWS)).cast("int")
+    own = F.pmod(F.xxhash64("gid"), parts).cast("int")
+    every = F.sequence(F.lit(0), parts - 1)
+    x = open_runs.withColumns({"step": step, "i": own}).withColumn("j", F.explode(every)).select("token", "step", "i", "j", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "component", "place")])
+    y = open_runs.withColumn("step", F.explode(F.array(step, step - 1))).withColumn("j", own).withColumn("i", F.explode(every)).select("token", "step", "i", "j", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "component", "place")])
     apart = (F.col("x_component") != F.col("y_component")) | (F.col("x_component") == NEVER)
     ordered = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_gid") < F.col("y_gid")))
     sizes = F.lit(rule.over) * F.col("x_n") >= F.lit(rule.under) * F.col("y_n")
     # Where a pair first meets in the order, neither has what came before it in the other; a pair that fails here met earlier, or not at all.
     left = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
     enough = F.lit(rule.over + rule.under) * left >= F.lit(rule.under) * (F.col("x_n") + F.col("y_n"))
-    met = x.join(y, "token").where(ordered & sizes & apart & enough).select("x_gid", "y_gid").distinct()
+    met = x.join(y, ["token", "step", "i", "j"]).where(ordered & sizes & apart & enough).select("x_gid", "y_gid").distinct()
     for side in ("x", "y"):
         met = met.join(classes.select(F.col("cid").alias(f"{side}_gid"), F.col("n").alias(f"{side}_n"), F.col("prefix").alias(f"{side}_prefix")), f"{side}_gid")
     counted = met.withColumns({"shared": F.size(F.array_intersect("x_prefix", "y_prefix")), "x_p": F.size("x_prefix"), "y_p": F.size("y_prefix")})
     pairs = materialise(counted.where(may_link(rule)).select("x_gid", "y_gid"), "group-pairs")
 
-    own = groups.select(F.col("gid")).join(in_groups, "gid", "left").select("gid", F.coalesce("cid", "gid").alias("cid")).join(label, "cid")
-    xs = own.select(F.col("gid").alias("x_gid"), F.col("cid").alias("a"), F.col("component").alias("ca"))
-    ys = own.select(F.col("gid").alias("y_gid"), F.col("cid").alias("b"), F.col("component").alias("cb"))
-    across = pairs.join(xs, "x_gid").join(ys, "y_gid").where("ca != cb").select("a", "b")
-    left = xs.select("x_gid", "a", "ca").join(ys.withColumnRenamed("y_gid", "x_gid"), "x_gid").where("ca != cb and a < b").select("a", "b")
-    return across.unionAll(left).distinct()
+    # Only members of different components make pairs: the components meet first, then their members.
+    own = materialise(groups.select("gid").join(in_groups, "gid", "left").select("gid", F.coalesce("cid", "gid").alias("cid")).join(label, "cid"), "own")
+    kinds = own.groupBy("gid", "component").agg(F.count(F.lit(1)).alias("members"))
+    some_x = kinds.select(F.col("gid").alias("x_gid"), F.col("component").alias("x_component"))
+    some_y = kinds.select(F.col("gid").alias("y_gid"), F.col("component").alias("y_component"))
+    across = pairs.join(some_x, "x_gid").join(some_y, "y_gid").where("x_component != y_component")
+    inside = some_x.join(some_y, F.col("x_gid") == F.col("y_gid")).where("x_component < y_component")
+    both = across.select("x_gid", "x_component", "y_gid", "y_component").unionAll(inside.select("x_gid", "x_component", "y_gid", "y_component"))
+    xs = own.select(F.col("gid").alias("x_gid"), F.col("component").alias("x_component"), F.col("cid").alias("a"))
+    ys = own.select(F.col("gid").alias("y_gid"), F.col("component").alias("y_component"), F.col("cid").alias("b"))
+    return both.join(xs, ["x_gid", "x_component"]).join(ys, ["y_gid", "y_component"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
