@@ -9,11 +9,14 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+_folders: set[str] = set()
+_own: dict[str, str] = {}
 _kept: dict = {}
 
 
@@ -33,11 +36,18 @@ def release() -> None:
 #: Rows and bytes that Spark and a Python worker exchange at once at most, about: texts may be long, and either side holds two such batches.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
+BATCH_SETTINGS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+_before: dict[tuple[str, str], str] = {}
 
 
 def prepare_workers(spark: SparkSession) -> None:
-    """Make this package importable on every executor (once for an application), and bound the batches that workers get."""
+    """Make this package importable on every executor (once for an application), and bound the batches that workers get.
+
+    The bounds stay with the session, as its plans run later; restore_settings puts back what they were.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        for name in BATCH_SETTINGS:
+            _before.setdefault((spark.sparkContext.applicationId, name), spark.conf.get(name))
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
@@ -54,6 +64,14 @@ def prepare_workers(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def restore_settings(spark: SparkSession) -> None:
+    """Put back the session's settings that prepare_workers changed; results that were not yet read run with them."""
+    for name in BATCH_SETTINGS:
+        value = _before.pop((spark.sparkContext.applicationId, name), None)
+        if value is not None:
+            spark.conf.set(name, value)
+
+
 def _temporary(prefix: str) -> Path:
     """A folder of the driver's own that goes when the driver ends."""
     path = Path(tempfile.mkdtemp(prefix=prefix))
@@ -62,17 +80,33 @@ def _temporary(prefix: str) -> Path:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = _temporary("larkspur-checkpoints-").as_uri()
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = _temporary("larkspur-checkpoints-").as_uri()
+        return _own[application]
     return folder
 
 
 def table_folder(spark: SparkSession) -> str:
-    """Where this application's written tables lie."""
-    return f"{work_folder(spark)}/larkspur-{spark.sparkContext.applicationId}"
+    """Where this application's written tables lie; they go when the driver ends."""
+    folder = f"{work_folder(spark)}/larkspur-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove_last, spark, folder)
+    return folder
+
+
+def _remove_last(spark: SparkSession, folder: str) -> None:
+    at = urlparse(folder)
+    if at.scheme in ("", "file"):
+        shutil.rmtree(at.path, ignore_errors=True)
+    elif spark.sparkContext._jsc is not None:
+        _delete(spark, folder)
 
 
 def clear_tables(spark: SparkSession) -> None:
@@ -149,6 +183,8 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     picked = []
     renamed = df.toDF(*[f"c{i}" for i in range(len(held))])
     for name in names:
-        place = held.index(name) if name in held else next(i for i, c in enumerate(held) if c.lower() == name.lower())
+        place = held.index(name) if name in held else next((i for i, c in enumerate(held) if c.lower() == name.lower()), None)
+        if place is None:
+            raise KeyError(f"the table has no column {name}")
         picked.append(F.col(f"c{place}").alias(name))
     return renamed.select(*picked)

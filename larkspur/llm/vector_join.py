@@ -3,13 +3,17 @@
 Vectors are scaled to length 1 and turned by a fixed rotation, and their
 components are split into m blocks of few dimensions.  Two vectors with cosine c
 are 2 - 2c apart in squared distance, so in at least one block they are within
-(2 - 2c) / m, the block's share of the budget.  Every block is range-joined: a
-grid over its first two dimensions, with cells as wide as the budget's radius,
-brings together all pairs that close; the pairs within the block's budget are
-candidates, and their cosine is computed in double precision from the stored
-components.  A pair is counted in the first block whose budget it meets, so no
-pair is counted twice.  Equal vectors form one class that meets others once.
-Cells with many members are dealt into parts, and parts meet in pairs.
+(2 - 2c) / m, the block's share of the budget.  Every block is range-joined; the
+pairs within a block's budget are candidates, and the cosine of the union of
+candidates is computed in double precision from the stored components.  Equal
+vectors form one class that meets others once.
+
+The vectors of a label are dealt into parts, and parts meet in pairs, where all
+blocks are joined at once: every vector is sent once for each part.  Where that
+is more often than MOST_PARTS, a grid over two dimensions of every block, with
+cells as wide as the budget's radius, brings together all pairs that are close
+in that block: every vector is sent to five cells of each block, and a pair is
+counted in the first block whose budget it meets.
 
 A task returns counts and a spanning star of each connected set it sees, never
 all the pairs.
@@ -27,12 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialise, prepare_workers
+from larkspur.llm.common import join_counted, materialise, prepare_workers
 from larkspur.llm.components import components
 
 BLOCK_DIMS = 8
+ALL_BLOCKS = -1
 #: Members of a cell that are compared in one task at most, about.
 PART_ROWS = 2048
+#: Members of a label that are compared in one task at most, about, and parts of a label beyond which the grid is used.
+LABEL_ROWS = 8192
+MOST_PARTS = 40
+#: Rows of a part that are compared with another part at once.
+TILE = 512
 SLACK = 1e-9
 #: Of a cell and its eight neighbours, those whose members also come to the cell.
 AHEAD = ((0, 1), (1, -1), (1, 0), (1, 1))
@@ -47,9 +57,16 @@ def rotation(dims: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The rows in double precision, times the power of two that brings their largest component near 1: no square is lost."""
+    held = vectors.astype(np.float64)
+    _, exponent = np.frexp(np.abs(held).max(1, keepdims=True))
+    return np.ldexp(held, -exponent)
+
+
 def turned(vectors: np.ndarray) -> np.ndarray:
     """Unit vectors of the rows, rotated."""
-    held = vectors.astype(np.float64)
+    held = scaled(vectors)
     return (held / np.sqrt((held**2).sum(1, keepdims=True))) @ rotation(held.shape[1])
 
 
@@ -97,12 +114,12 @@ def compare(block: int, cosine: float, left: np.ndarray, right: np.ndarray | Non
     if right is None:
         close = np.triu(close, 1)
     i, j = np.nonzero(close)
-    one, two = left.astype(np.float64), (left if right is None else right).astype(np.float64)
+    one = scaled(left)
+    two = one if right is None else scaled(right)
     keep_i, keep_j = [], []
     for lo in range(0, len(i), 1 << 16):
         a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-        x, y = one[a], two[b]
-        high = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))) >= cosine
+        high = exact(one, two, a, b) >= cosine
         a, b = a[high], b[high]
         first = np.ones(len(a), bool)
         for p in parts[:block]:
@@ -112,6 +129,41 @@ def compare(block: int, cosine: float, left: np.ndarray, right: np.ndarray | Non
     return (np.concatenate(keep_i), np.concatenate(keep_j)) if keep_i else (i, j)
 
 
+def exact(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows a of one with the rows b of two."""
+    x, y = one[a], two[b]
+    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+
+
+def compare_all(cosine: float, left: np.ndarray, right: np.ndarray | None):
+    """Pairs (i, j) of rows of left and right, or of left alone (i < j), whose cosine is high enough: all blocks at once."""
+    one = scaled(left)
+    two = one if right is None else scaled(right)
+    units = turned(left).astype(np.float32)
+    others = units if right is None else turned(right).astype(np.float32)
+    parts = blocks_of(left.shape[1])
+    budget = max(0.0, 2 - 2 * cosine) / len(parts)
+    # x . y - |x|^2 / 2 - |y|^2 / 2 is minus half the squared distance: one product for each block; single precision errs by less than the margin
+    flat = [np.c_[units[:, p], (units[:, p] ** 2).sum(1) / -2, np.ones(len(units), np.float32)] for p in parts]
+    tall = [np.c_[others[:, p], np.ones(len(others), np.float32), (others[:, p] ** 2).sum(1) / -2].T for p in parts]
+    least = np.float32(-budget / 2 - 1e-5)
+    keep_i, keep_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(left), TILE):
+        first = lo + 1 if right is None else 0
+        close = flat[0][lo : lo + TILE] @ tall[0][:, first:] >= least
+        for x, y in zip(flat[1:], tall[1:], strict=True):
+            close |= x[lo : lo + TILE] @ y[:, first:] >= least
+        if right is None:
+            close = np.triu(close)
+        i, j = np.nonzero(close)
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at : at + (1 << 16)] + lo, j[at : at + (1 << 16)] + first
+            high = exact(one, two, a, b) >= cosine
+            keep_i.append(a[high])
+            keep_j.append(b[high])
+    return np.concatenate(keep_i), np.concatenate(keep_j)
+
+
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For the pairs (a, b) of ids: every id but the smallest of its connected set, with that smallest."""
     ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -141,10 +193,18 @@ def link(rows: DataFrame, cosine: float, *, id: str = "vec_id", vector: str = "e
     grouped = keyed.where("able").groupBy("label", "h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
     classes = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
 
-    spread = placed(classes, cosine)
     cell = ["label", "dims", "block", "x", "y"]
-    hot = spread.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any_home")).where("any_home and n > 1")
-    sized = spread.join(hot.select(*cell, F.ceil(F.col("n") / F.lit(PART_ROWS)).cast("int").alias("parts")), cell)
+    counted = classes.withColumn("dims", F.size("vector"))
+    labels = materialise(counted.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "vector-labels")
+    known = join_counted(counted, labels, ["label", "dims"], "n").withColumn("parts", F.ceil(F.col("n") / F.lit(LABEL_ROWS)).cast("int"))
+    columns = [*cell, "cid", "copies", "vector", "home", "parts"]
+    none = F.lit(0)
+    sized = known.where(F.col("parts") <= MOST_PARTS).withColumns({"block": F.lit(ALL_BLOCKS), "x": none, "y": none, "home": F.lit(True)}).select(*columns)
+    if labels.where(F.col("n") > LABEL_ROWS * MOST_PARTS).limit(1).count():
+        spread = placed(known.where(F.col("parts") > MOST_PARTS), cosine)
+        cells = spread.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any_home")).where("any_home and n > 1")
+        gridded = join_counted(spread, materialise(cells, "vector-cells"), cell, "n").withColumn("parts", F.ceil(F.col("n") / F.lit(PART_ROWS)).cast("int"))
+        sized = sized.unionByName(gridded.select(*columns))
     own = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
     dealt = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select(*cell, "i", "j", "cid", "copies", "vector", "own", "home")
@@ -160,7 +220,8 @@ def link(rows: DataFrame, cosine: float, *, id: str = "vec_id", vector: str = "e
             left = np.flatnonzero(one)
             right = left if two is None else np.flatnonzero(two)
             if len(left) and len(right):
-                x, y = compare(block, cosine, vectors[left], None if two is None else vectors[right])
+                held = vectors[left], None if two is None else vectors[right]
+                x, y = compare_all(cosine, *held) if block == ALL_BLOCKS else compare(block, cosine, *held)
                 found_a.append(left[x])
                 found_b.append(right[y])
         a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))

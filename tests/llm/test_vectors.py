@@ -86,16 +86,28 @@ def key(rows):
     return sorted(map(str, rows))
 
 
-@pytest.mark.parametrize("part", [2048, 7])
-def test_vector_join(spark, tmp_path, monkeypatch, part):
+@pytest.mark.parametrize(("part", "label", "most"), [(2048, 8192, 40), (2048, 9, 40), (2048, 9, 2), (7, 9, 2)])
+def test_vector_join(spark, tmp_path, monkeypatch, part, label, most):
+    """One part, several parts, and the grid with whole and with dealt cells."""
     monkeypatch.setattr(vector_join, "PART_ROWS", part)
+    monkeypatch.setattr(vector_join, "LABEL_ROWS", label)
+    monkeypatch.setattr(vector_join, "MOST_PARTS", most)
+    monkeypatch.setattr(vector_join, "TILE", 16)
     t = odd_vectors(np.random.default_rng(2))
     sf = write(tmp_path, "embeddings", t)
     got = [tuple(r) for r in queries.op9_vector_join(spark, sf).select("vec_id", "n_links", "component_id").collect()]
     assert key(got) == key(brute_links(*(t[c].to_pylist() for c in ("vec_id", "embedding", "label")), 0.93))
 
 
-def test_vector_join_of_clusters(spark):
+def test_tiny_and_huge_components(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1e-200, 2e-200]), (3, [2e-200, 4e-200]), (4, [1e200, 2e200]), (5, [5e-324, 5e-324]), (6, [2.0, -1.0])]
+    got = vector_join.link(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int"), 0.999).collect()
+    assert sorted(map(tuple, got)) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5), (6, 0, 6)]
+
+
+@pytest.mark.parametrize("most", [40, 0])
+def test_vector_join_of_clusters(spark, monkeypatch, most):
+    monkeypatch.setattr(vector_join, "MOST_PARTS", most)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 32))
     v = np.concatenate([centres[i % 12] + rng.normal(size=32) * 0.05 * (i % 9) for i in range(240)]).reshape(240, 32).astype(np.float32)
@@ -140,3 +152,38 @@ def test_distinct_rows_stay_whole(spark):
     df = spark.range(0, 100).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0).cast("float"), F.lit(0.0).cast("float")).alias("embedding"), F.lit(1).alias("label"))
     got = vector_join.link(df, 0.93).collect()
     assert {(r.n_links, r.component) for r in got} == {(99, 0)} and len(got) == 100
+
+
+def test_shared_folder_and_settings(spark, monkeypatch):
+    from larkspur.llm import common
+
+    class Session:
+        def __init__(self, master):
+            self.conf = type("Conf", (), {"get": lambda self, name, default=None: default})()
+            self.sparkContext = type("Context", (), {"master": master, "applicationId": f"test-{master}"})()
+
+    with pytest.raises(ValueError):
+        common.work_folder(Session("spark://host:7077"))
+    local = Session("local[2]")
+    assert common.work_folder(local).startswith("file:") and common.work_folder(local) == common.work_folder(local)
+    with pytest.raises(KeyError):
+        common.only(spark.range(1), "nothing")
+    common.prepare_workers(spark)
+    name = common.BATCH_SETTINGS[0]
+    before = common._before.get((spark.sparkContext.applicationId, name))
+    assert int(spark.conf.get(name)) <= common.BATCH_ROWS
+    common.restore_settings(spark)
+    assert before is None or spark.conf.get(name) == before
+    common.prepare_workers(spark)
+
+
+def test_counted_join_is_a_join(spark, monkeypatch):
+    from larkspur.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.range(60).selectExpr("id", "CASE WHEN id < 30 THEN 0 ELSE id % 7 END AS k")
+    table = rows.groupBy("k").count().withColumnRenamed("count", "n").where("k != 3")
+    want = sorted(map(tuple, rows.join(table, "k").collect()))
+    for keys in (200_000, 0):
+        monkeypatch.setattr(common, "HOT_KEYS", keys)
+        assert sorted(map(tuple, common.join_counted(rows, table, ["k"], "n").select("k", "id", "n").collect())) == want
