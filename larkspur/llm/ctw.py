@@ -18,6 +18,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 HALF = np.log(0.5)
+#: Stands before and behind a text: a byte that no text in UTF-8 holds.
+END = 255
 _TABLE = 1 << 12
 _STEPS = np.arange(_TABLE, dtype=np.float64)
 _LOG_GAMMA_HALF = 0.5 * np.log(np.pi) + np.r_[0, np.cumsum(np.log(_STEPS[:-1] + 0.5))]  # log gamma(n + 1/2)
@@ -190,8 +192,8 @@ class Crown:
 
 
 def grams_of(text: np.ndarray, full: int) -> np.ndarray:
-    """The gram at every position of a text and at its end; before the text lie zero bytes, and its end is one."""
-    long = np.concatenate([np.zeros(full, np.uint8), text, np.zeros(1, np.uint8)]).astype(np.uint64)
+    """The gram at every position of a text and at its end; before and behind the text lie END bytes."""
+    long = np.concatenate([np.full(full, END, np.uint8), text, np.full(1, END, np.uint8)]).astype(np.uint64)
     n = len(text) + 1
     out = long[full:].copy()
     for d in range(1, full + 1):

@@ -10,7 +10,7 @@ is scored from counts over the whole corpus, and what is moved grows in
 proportion to the input.
 
 Texts are lower-cased (A-Z).  A text's probability includes its end, coded as a
-zero byte; before a text lie zero bytes.
+byte that no text in UTF-8 holds; the same byte stands before a text.
 
 Defined results: a null text is empty and is scored as its end alone; without
 training texts the model predicts every bit with 1/2 and the baseline's N is 0;
@@ -156,8 +156,8 @@ def needs(held: DataFrame, buckets: int) -> DataFrame:
                     some = [t for t, f in zip(own, flags, strict=True) if f == flag]
                     if not some:
                         continue
-                    flat = np.concatenate([x for t in some for x in (np.zeros(FULL, np.uint8), t, np.zeros(1, np.uint8))])
-                    # the gram at every place but those of the zero bytes before a text
+                    flat = np.concatenate([x for t in some for x in (np.full(FULL, ctw.END, np.uint8), t, np.full(1, ctw.END, np.uint8))])
+                    # the gram at every place but those of the bytes before a text
                     lengths = np.array([len(t) + 1 for t in some])
                     starts = np.cumsum(lengths + FULL) - lengths
                     for a, b in _slices(starts, lengths, 1 << 21):
@@ -341,7 +341,7 @@ def scored(held: DataFrame, replies: DataFrame, totals: Totals) -> DataFrame:
             end = np.log10(totals.ends + 0.5) - scale
             for ids, flags, sizes, data in zip(*(texts.column(c).to_pylist() for c in ("ids", "trains", "sizes", "texts")), strict=True):
                 own = opened(sizes, data)
-                flat = np.concatenate([x for t in own for x in (np.zeros(FULL, np.uint8), t, np.zeros(1, np.uint8))])
+                flat = np.concatenate([x for t in own for x in (np.full(FULL, ctw.END, np.uint8), t, np.full(1, ctw.END, np.uint8))])
                 lengths = np.array([len(t) + 1 for t in own])
                 starts = np.cumsum(lengths + FULL) - lengths
                 model_score = np.zeros(len(own))

@@ -252,7 +252,7 @@ def slow_ctw(train, text, depth):
     counts = {}
 
     def steps(t):
-        data = bytes(depth) + t + b"\0"
+        data = b"\xff" * depth + t + b"\xff"
         for i in range(depth, len(data)):
             node = 1
             for b in range(7, -1, -1):
@@ -316,7 +316,7 @@ def check_base(rows, got):
 
 
 def test_lm_matches_the_definition(spark, tmp_path, monkeypatch):
-    texts = ["the cat sat", "the cat ran", "a dog sat", "THE CAT", "", None, "zzz \0 x", "the dog the dog"] * 2
+    texts = ["the cat sat", "the cat ran", "a dog sat", "THE CAT", "", None, "zzz \0 x", "zzz \0", "zzz ", "\0", "the dog the dog"] * 2
     rows = [(i, t) for i, t in enumerate(texts)]
     sf = write(tmp_path, "documents", pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows], "score": ["clash"] * len(rows), "block": [1] * len(rows)}))
     monkeypatch.setattr(lm, "CHUNK_BYTES", 20)
