@@ -282,7 +282,7 @@ def train(rows: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
             found = [lexicon.measure(automaton, own) for own in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], ["label", "weight", "length"])
 
-    measured = sample.mapInArrow(measure, "label int, weight double, length long").orderBy("label", "weight", "length").collect()
+    measured = sorted(sample.mapInArrow(measure, "label int, weight double, length long").collect())  # a row for each of the sample
     return calibrate(lexicon, np.array([r["label"] for r in measured]), np.array([r["weight"] for r in measured]), np.array([r["length"] for r in measured]), settings)
 
 
