@@ -149,7 +149,7 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], size: str)
     HOT_KEYS of them, where no single one weighs much, all go through the shuffle.
     """
     hot = table.where(F.col(size) > HOT_ROWS)
-    if hot.limit(HOT_KEYS + 1).count() > HOT_KEYS:
+    if not 0 < hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS:
         return rows.join(table, keys)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return rows.join(F.broadcast(hot), keys).unionByName(cold.join(table.where(F.col(size) <= HOT_ROWS), keys))
