@@ -5,12 +5,13 @@ two terms, one for queries with a positive and one for queries with a negative
 weight there; a posting's impact, its distance from the block's least (or
 greatest) component, is never negative.  The index keeps each term's documents
 ordered by quantised impact, in segments of equal impact.  A block of queries
-processes the segments level by level, highest impact first, adding to a lower
-and an upper bound of every score; it stops only once the bounds prove which
+processes the segments highest impact first, several levels at a time, adding to
+a lower and an upper bound of every score; it stops only once the bounds prove which
 documents may be among the best, and those are scored again exactly.
 
-Queries and candidates meet block by block: both are dealt into blocks of
-bounded size, and every pair of blocks is a group of its own.
+Candidates are dealt into blocks of bounded size and sent once; the queries
+follow every block's candidates in sorted rows, so that a task builds a block's
+index once and reads the queries against it in chunks.
 
 Defined results: vectors that are null or empty or hold null or non-finite
 components, or have a null id, take no part; vectors of different lengths never
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import materialise, prepare_workers
+from larkspur.llm.common import materialise, prepare_workers, shuffle_partitions
 
 BLOCK_ROWS = 2048
 QUERY_ROWS = 1024
 LEVELS = 32
+#: Tasks that blocks are dealt to at most, unless the session asks for more; a task takes one block at a time.
+MOST_PARTITIONS = 10_000
 #: Levels after which the bounds are looked at.
 LOOK = (22, 26, 29)
 
@@ -45,18 +48,19 @@ class ImpactIndex:
         self.width = max(1, -(-(int(impacts.max()) + 1) // levels))
         quantised = impacts // self.width
         self.order = np.argsort(-quantised, axis=0, kind="stable")
-        ranked = np.take_along_axis(quantised, self.order, 0)
-        self.ends = np.stack([(ranked >= level).sum(0) for level in range(levels - 1, -1, -1)])
-
-    def segments(self, step: int, dtype: type) -> np.ndarray:
-        """(documents, terms): 1 where the document is in the term's segment of the step-th highest impact."""
-        out = np.zeros((self.vectors.shape[0], self.order.shape[1]), dtype)
-        starts = self.ends[step - 1] if step else np.zeros(self.order.shape[1], np.int64)
-        sizes = self.ends[step] - starts
+        self.ranked = np.take_along_axis(quantised, self.order, 0)
+        self.ends = np.stack([(self.ranked >= level).sum(0) for level in range(levels - 1, -1, -1)])
+
+    def segments(self, first: int, last: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, terms) twice, of the segments of the first-th to the last-th highest impact: 1 where a document is in one, and its impact there."""
+        starts = self.ends[first - 1] if first else np.zeros(self.order.shape[1], np.int64)
+        sizes = self.ends[last] - starts
         terms = np.repeat(np.arange(len(sizes)), sizes)
         places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
-        out[self.order[places, terms], terms] = 1
-        return out
+        here, impact = np.zeros((2, self.vectors.shape[0], self.order.shape[1]), dtype)
+        here[self.order[places, terms], terms] = 1
+        impact[self.order[places, terms], terms] = self.ranked[places, terms] * self.width
+        return here, impact
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(places, scores) of every document that may be among each query's k best; own: the query's place here or -1."""
@@ -70,16 +74,13 @@ class ImpactIndex:
         seen = np.zeros_like(lower)
         here = np.flatnonzero(own >= 0)
         open_rows = None
-        for step in range(self.levels):
-            level = self.levels - 1 - step
-            segment = self.segments(step, dtype)
-            if segment.any():
-                part = weights @ segment.T
-                seen += part
-                part *= dtype(level * self.width)
-                lower += part
-            if step not in LOOK and level:
-                continue
+        first = 0
+        for last in (*(s for s in LOOK if s < self.levels - 1), self.levels - 1):
+            level = self.levels - 1 - last
+            segment, impact = self.segments(first, last, dtype)
+            seen += weights @ segment.T
+            lower += weights @ impact.T
+            first = last + 1
             # What is left to add lies between 0 and the next level's top for every weight not seen, and a level's width for those seen.
             spare = seen * dtype(self.width - 1) + (total - seen) * dtype(max(0, level * self.width - 1))
             lower_seen = lower.copy()
@@ -133,33 +134,62 @@ def top_k(rows: DataFrame, is_query: Column, k: int, *, id: str = "vec_id", vect
     held = whole(rows, id, vector, scale)
     queries = held.where(is_query)
     blocks = max(1, -(-held.count() // BLOCK_ROWS))
-    chunks = max(1, -(-queries.count() // QUERY_ROWS))
-    left = held.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    right = queries.withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def meet(candidates: pa.Table, asked: pa.Table) -> pa.Table:
-        found: list[list] = [[], [], [], []]
-        for batch in _best(candidates, asked, k):
-            for column, part in zip(found, batch, strict=True):
-                column.append(part)
-        arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in found]
-        return pa.table(dict(zip(("query_row", "query_id", "id", "score"), arrays, strict=True)))
-
-    met = left.groupBy("dims", "block", "chunk").cogroup(right.groupBy("dims", "block", "chunk")).applyInArrow(meet, "query_row long, query_id long, id long, score long")
+    columns = ("dims", "block", "asks", "row", "id", "vector")
+    left = held.withColumns({"block": F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"), "asks": F.lit(False)}).select(*columns)
+    right = queries.withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "asks": F.lit(True)}).select(*columns)
+    partitions = min(2 * blocks, max(MOST_PARTITIONS, shuffle_partitions(rows.sparkSession)))
+    dealt = left.unionByName(right).repartition(partitions, "dims", "block").sortWithinPartitions("dims", "block", "asks")
+
+    def meet(batches):
+        for block, asked in _met(batches):
+            found = list(_best(block, asked, k))
+            if found:
+                yield pa.RecordBatch.from_arrays([np.concatenate(c) for c in zip(*found, strict=True)], ["query_row", "query_id", "id", "score"])
+
+    met = dealt.mapInArrow(meet, "query_row long, query_id long, id long, score long")
     place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc("id")))
     return met.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def _best(candidates: pa.Table, asked: pa.Table, k: int):
+def _met(batches):
+    """(index of a block, ids, rows), then up to QUERY_ROWS of the queries that follow its candidates in the sorted rows."""
+    now, held, waiting, block = None, [], [], None
+    for batch in batches:
+        marks = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+        edges = np.r_[0, np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1, len(marks)] if len(marks) else []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            key, part = tuple(marks[lo, :2]), batch.slice(lo, hi - lo)
+            if key != now:
+                if waiting and block:
+                    yield block, pa.Table.from_batches(waiting)
+                now, held, waiting, block = key, [], [], None
+            if not marks[lo, 2]:
+                held.append(part)
+                continue
+            if held:  # all candidates of the block are here: its index is built once
+                block, held = _indexed(pa.Table.from_batches(held)), []
+            waiting.append(part)
+            if sum(len(w) for w in waiting) >= QUERY_ROWS:
+                if block:
+                    yield block, pa.Table.from_batches(waiting)
+                waiting = []
+    if waiting and block:
+        yield block, pa.Table.from_batches(waiting)
+
+
+def _read(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("vector").to_pylist()), "<i8").reshape(table.num_rows, -1)
+
+
+def _indexed(candidates: pa.Table) -> tuple[ImpactIndex, np.ndarray, np.ndarray]:
+    return ImpactIndex(_read(candidates)), candidates.column("id").to_numpy(), candidates.column("row").to_numpy()
+
+
+def _best(block: tuple[ImpactIndex, np.ndarray, np.ndarray], asked: pa.Table, k: int):
     """(query rows, query ids, ids, scores) of the k best here for every query."""
-    if not candidates.num_rows or not asked.num_rows:
-        return
-    dims = candidates.column("dims")[0].as_py()
-    read = lambda t: np.frombuffer(b"".join(t.column("vector").to_pylist()), "<i8").reshape(-1, dims)
-    ids, rows = candidates.column("id").to_numpy(), candidates.column("row").to_numpy()
-    index = ImpactIndex(read(candidates))
+    index, ids, rows = block
     order = np.argsort(rows)
-    query_ids, query_rows, vectors = asked.column("id").to_numpy(), asked.column("row").to_numpy(), read(asked)
+    query_ids, query_rows, vectors = asked.column("id").to_numpy(), asked.column("row").to_numpy(), _read(asked)
     at = np.minimum(np.searchsorted(rows, query_rows, sorter=order), len(rows) - 1)
     own = np.where(rows[order[at]] == query_rows, order[at], -1)
     for q, (places, scores) in enumerate(index.search(vectors, own, k)):
