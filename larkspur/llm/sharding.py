@@ -24,6 +24,8 @@ ROW_COST = 16
 BITS = 30
 BINS = 1024
 TIE_BITS = 32
+#: Levels of the tree after which its nodes are written, so that no plan grows with the tree's depth.
+LEVELS = 3
 #: Rows numbered together at most, about.
 SLOT_ROWS = 50_000
 
@@ -49,21 +51,35 @@ def metadata(rows: DataFrame, *, id: str = "doc_id", text: str = "text", groups:
     return materialise(picked, "metadata")
 
 
-def tree(meta: DataFrame, shards: int) -> DataFrame:
-    """meta with the leaf (0 to shards - 1) of every row."""
+def keyed(meta: DataFrame) -> tuple[DataFrame, int]:
+    """meta with the keys of every dimension and the root as every row's node, written as a table; and all bytes."""
     g = [c for c in meta.columns if c.startswith("g") and c[1:].isdigit()]
     logs = F.log2(F.col("size").cast("double"))
     known = meta.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min(logs).alias("c"), F.max(logs).alias("d"), F.sum("size").alias("total")).first()
     if known["total"] is None:
-        return meta.withColumn("shard", F.lit(0))
-    target = known["total"] / shards
+        return meta.select("doc_id", "size", "text_crc32", "row", F.array().cast("array<bigint>").alias("keys"), F.lit(0).alias("shard")), 0
     dims = [_scaled(F.col("doc_id"), known["a"] or 0, known["b"] or 0), _scaled(logs, known["c"], known["d"]), _scaled(F.col("text_crc32"), 0, 2**32 - 1), *[F.col(c) for c in g]]
     tie = F.shiftrightunsigned(F.xxhash64("doc_id", "row", F.lit(5)), 64 - TIE_BITS)
     keys = [F.shiftleft(d, TIE_BITS) + tie for d in dims]
-    now = meta.select("doc_id", "size", "text_crc32", "row", F.array(*keys).alias("keys"), F.lit(0).alias("shard"))
+    return materialise(meta.select("doc_id", "size", "text_crc32", "row", F.array(*keys).alias("keys"), F.lit(0).alias("shard")), "tree"), known["total"]
+
+
+def tree(meta: DataFrame, shards: int) -> DataFrame:
+    """meta with the leaf (0 to shards - 1) of every row."""
+    now, total = keyed(meta)
+    if not total:
+        return now.drop("keys")
+    return split(now, shards, total / shards)
+
+
+def split(now: DataFrame, shards: int, target: float) -> DataFrame:
+    """keyed's rows with the leaf of every row; the nodes are written as a table every LEVELS levels."""
+    dims = len(now.first()["keys"])
+    level = 0
     parts = {0: shards}  # first shard of a node: how many shards it becomes
     while any(k > 1 for k in parts.values()):
-        cuts = _cuts(now, {n: k for n, k in parts.items() if k > 1}, len(keys), target)
+        level += 1
+        cuts = _cuts(now, {n: k for n, k in parts.items() if k > 1}, dims, target)
         table = _small(now, "shard int, dim int, cut long, shift int", [(n, d + 1, c, parts[n] // 2) for n, (d, c) in cuts.items()])
         beyond = F.element_at("keys", F.col("dim")) > F.col("cut")
         now = now.join(F.broadcast(table), "shard", "left").withColumn("shard", F.col("shard") + F.when(beyond, F.col("shift")).otherwise(F.lit(0))).drop("dim", "cut", "shift")
@@ -74,6 +90,8 @@ def tree(meta: DataFrame, shards: int) -> DataFrame:
             else:
                 then[node], then[node + k // 2] = k // 2, k - k // 2
         parts = then
+        if level % LEVELS == 0:
+            now = materialise(now, "tree")
     return now.select("doc_id", "size", "text_crc32", "row", "shard")
 
 

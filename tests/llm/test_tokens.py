@@ -1,5 +1,6 @@
 """SentencePiece, packing, sharding and language-model scores."""
 
+import itertools
 import math
 import random
 import unicodedata
@@ -244,6 +245,29 @@ def test_copies_are_dealt_evenly(spark):
     assert len(got) == 7 and max(r["count"] for r in got) - min(r["count"] for r in got) <= 2
 
 
+def exact_tree(rows, shards, first=0):
+    """Row to shard by sorting: the widest key's cut whose bytes at or below it are nearest to floor(shards / 2) / shards of all."""
+    if shards == 1:
+        return {r["row"]: first for r in rows}
+    dims = len(rows[0]["keys"])
+    spans = [max(r["keys"][i] for r in rows) - min(r["keys"][i] for r in rows) for i in range(dims)]
+    dim = spans.index(max(spans))
+    goal = sum(r["size"] for r in rows) * (shards // 2) / shards
+    ordered = sorted(rows, key=lambda r: r["keys"][dim])
+    below = list(itertools.accumulate((r["size"] for r in ordered), initial=0))
+    cut = min(range(len(below)), key=lambda i: (abs(below[i] - goal), -i))
+    return exact_tree(ordered[:cut], shards // 2, first) | exact_tree(ordered[cut:], shards - shards // 2, first + shards // 2)
+
+
+@pytest.mark.parametrize("shards", [2, 7, 20])
+def test_cuts_are_exact_weighted_medians(spark, shards):
+    df = spark.range(700).selectExpr("id * id % 1009 doc_id", "repeat(chr(97 + id % 5), cast(id * 37 % 211 as int)) text", "array('en', 'de', 'fr')[id % 3] lang", "concat('s', id % 2) source")
+    now, total = sharding.keyed(sharding.metadata(df))
+    want = exact_tree([r.asDict() for r in now.collect()], shards)
+    got = {r["row"]: r["shard"] for r in sharding.split(now, shards, total / shards).collect()}
+    assert got == want
+
+
 # language model
 
 
