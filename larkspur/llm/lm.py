@@ -38,6 +38,8 @@ CHUNK_BYTES = 1 << 20
 #: Bytes of text for a bucket, and rows of a bucket that one task takes.
 BUCKET_BYTES = 16 << 20
 PART_ROWS = 4_000_000
+#: Tasks of one shuffle at most; a task takes one group of bounded size at a time.
+MOST_PARTITIONS = 20_000
 GRAM, WORD = 0, 1
 
 
@@ -134,11 +136,9 @@ def needs(held: DataFrame, buckets: int) -> DataFrame:
             keys, counts = tally.settle()
             bucket = context_bucket(keys, buckets) if kind == GRAM else (words.mix(keys) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                at = order[edges[b] : edges[b + 1]]
-                if len(at):
-                    out.append((block, kind, b, len(at), squeeze(keys[at]), squeeze(counts[at]), 0))
+            present, first = np.unique(bucket[order], return_index=True)
+            for b, at in zip(present.tolist(), np.split(order, first[1:]), strict=True):
+                out.append((block, kind, b, len(at), squeeze(keys[at]), squeeze(counts[at]), 0))
         out.append((block, WORD, -1, 0, b"", b"", ends))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "kind", "bucket", "n", "keys", "counts", "ends"])
 
@@ -199,7 +199,12 @@ def _grams(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return out[keep]
 
 
-def grown(need: DataFrame, parts: DataFrame) -> DataFrame:
+def spread(groups: int) -> int:
+    """Tasks for so many groups of bounded size: they grow with the input, whatever the session's number is."""
+    return min(max(8, 2 * groups), MOST_PARTITIONS)
+
+
+def grown(need: DataFrame, parts: DataFrame, tasks: int) -> DataFrame:
     """For every (kind, bucket) the sums over all blocks; for grams also what the bucket's trees hand to the crown."""
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
@@ -222,8 +227,8 @@ def grown(need: DataFrame, parts: DataFrame) -> DataFrame:
 
     schema = "kind int, bucket int, keys binary, counts binary"
     dealt = need.where("bucket >= 0").join(parts, ["kind", "bucket"]).withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")))
-    summed = dealt.select("kind", "bucket", "part", "keys", "counts").groupBy("kind", "bucket", "part").applyInArrow(add, schema)
-    return materialise(summed.groupBy("kind", "bucket").applyInArrow(finish, schema + ", crown_grams binary, crown_counts binary, crown_names binary, crown_below binary, tokens long, types long"), "lm-trees")
+    summed = dealt.select("kind", "bucket", "part", "keys", "counts").repartition(tasks, "kind", "bucket", "part").groupBy("kind", "bucket", "part").applyInArrow(add, schema)
+    return materialise(summed.repartition(tasks, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(finish, schema + ", crown_grams binary, crown_counts binary, crown_names binary, crown_below binary, tokens long, types long"), "lm-trees")
 
 
 def crown_of(trees: DataFrame) -> ctw.Crown | None:
@@ -252,7 +257,7 @@ def crown_of(trees: DataFrame) -> ctw.Crown | None:
     return ctw.Crown.of(depths[::-1])
 
 
-def answers(need: DataFrame, trees: DataFrame, parts: DataFrame, crown: ctw.Crown | None) -> DataFrame:
+def answers(need: DataFrame, trees: DataFrame, parts: DataFrame, crown: ctw.Crown | None, tasks: int) -> DataFrame:
     """(block, kind, keys, values): log10 of the probability of every gram, or the count of every word, that a block asked for."""
     shared = need.sparkSession.sparkContext.broadcast(crown)
 
@@ -279,7 +284,7 @@ def answers(need: DataFrame, trees: DataFrame, parts: DataFrame, crown: ctw.Crow
     dealt = need.where("bucket >= 0").join(parts, ["kind", "bucket"]).withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int")).select("kind", "bucket", "part", "block", "keys")
     sent = trees.select("kind", "bucket", "keys", "counts").join(parts, ["kind", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("kind", "bucket", "part", "keys", "counts")
     by = ("kind", "bucket", "part")
-    return dealt.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(reply, "block long, kind int, keys binary, values binary")
+    return dealt.repartition(tasks, *by).groupBy(*by).cogroup(sent.repartition(tasks, *by).groupBy(*by)).applyInArrow(reply, "block long, kind int, keys binary, values binary")
 
 
 class Lookup:
@@ -326,7 +331,7 @@ class Totals:
     ends: int
 
 
-def scored(held: DataFrame, replies: DataFrame, totals: Totals) -> DataFrame:
+def scored(held: DataFrame, replies: DataFrame, totals: Totals, tasks: int) -> DataFrame:
     def score(texts: pa.Table, model: pa.Table) -> pa.Table:
         cols: list[list] = [[] for _ in range(7)]
         if texts.num_rows:
@@ -367,7 +372,8 @@ def scored(held: DataFrame, replies: DataFrame, totals: Totals) -> DataFrame:
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "trained", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
-    return held.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, "id long, trained boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    left, right = held.repartition(tasks, "block").groupBy("block"), replies.repartition(tasks, "block").groupBy("block")
+    return left.cogroup(right).applyInArrow(score, "id long, trained boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
 
 
 def score(rows: DataFrame, trains: Column, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -381,10 +387,11 @@ def score(rows: DataFrame, trains: Column, *, id: str = "doc_id", text: str = "t
     need = needs(held, max(8, -(-size // BUCKET_BYTES)))
     rows_of = need.where("bucket >= 0").groupBy("kind", "bucket").agg(F.sum("n").alias("rows"))
     parts = materialise(rows_of.select("kind", "bucket", F.ceil(F.col("rows") / F.lit(PART_ROWS)).cast("int").alias("parts")), "lm-parts")
-    trees = grown(need, parts)
+    meetings = spread(parts.agg(F.sum("parts")).first()[0] or 0)
+    trees = grown(need, parts, meetings)
     ends = need.agg(F.sum("ends")).first()[0] or 0
     counted = trees.where(F.col("kind") == WORD).agg(F.sum("tokens"), F.sum("types")).first()
     totals = Totals((counted[0] or 0) + ends, (counted[1] or 0) + int(ends > 0), ends)
-    replies = answers(need, trees, parts, crown_of(trees))
-    out = scored(held, replies, totals)
+    replies = answers(need, trees, parts, crown_of(trees), meetings)
+    out = scored(held, replies, totals, spread(held.agg(F.count_distinct("block")).first()[0]))
     return out.withColumns({"train_tokens": F.lit(totals.tokens).cast("long"), "bits_per_byte": -F.col("score") / F.lit(float(np.log10(2))) / (F.col("n_bytes") + 1)})
