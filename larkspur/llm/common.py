@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import cache
 from pathlib import Path
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +31,23 @@ def kept(key, make):
     return _kept[key]
 
 
+@cache
+def _trim():
+    """glibc's malloc_trim, or nothing where there is none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
 def release() -> None:
-    """Called by tasks that need their worker's memory for themselves."""
+    """Called by tasks that need their worker's memory for themselves, and after work that took much of it.
+
+    Workers live on between tasks, and memory that they have freed stays theirs unless it is given back.
+    """
     _kept.clear()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 #: Rows and bytes that Spark and a Python worker exchange at once at most, about: texts may be long, and either side holds two such batches.

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import ctw, words
-from larkspur.llm.common import materialise, prepare_workers
+from larkspur.llm.common import materialise, prepare_workers, release
 
 #: Context depths: all, the crown's greatest, and the first that buckets hold whole.
 FULL, CROWN, LEAST = 6, 2, 3
@@ -94,6 +94,7 @@ def blocks(rows: DataFrame, id: str, text: str, trains: Column) -> DataFrame:
     """(block, ids, trains, sizes, texts): the lower-cased texts in compressed chunks; a block is about BLOCK_BYTES of one task's rows."""
 
     def pack(batches):
+        release()
         base, number, held = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             ids, flags, texts = (batch.column(i).to_pylist() for i in range(3))
@@ -143,6 +144,7 @@ def needs(held: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "kind", "bucket", "n", "keys", "counts", "ends"])
 
     def count(batches):
+        release()
         now, grams, tokens, ends = None, Tally(), Tally(), 0
         for batch in batches:
             for block, flags, sizes, texts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -166,6 +168,8 @@ def needs(held: DataFrame, buckets: int) -> DataFrame:
                         tokens.add(found, flag)
         if now is not None:
             yield emit(now, grams, tokens, ends)
+        del grams, tokens
+        release()
 
     picked = held.select("block", "trains", "sizes", "texts")
     return materialise(picked.mapInArrow(count, "block long, kind int, bucket int, n long, keys binary, counts binary, ends long"), "lm-needs")
@@ -212,6 +216,7 @@ def grown(need: DataFrame, parts: DataFrame, tasks: int) -> DataFrame:
         return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "bucket": pa.array([key[1].as_py()], pa.int32()), "keys": pa.array([squeeze(keys)], pa.binary()), "counts": pa.array([squeeze(counts)], pa.binary())})
 
     def finish(key: tuple, table: pa.Table) -> pa.Table:
+        release()
         out = add(key, table)
         keys, counts = expand(out.column("keys")[0].as_py(), np.uint64), expand(out.column("counts")[0].as_py(), np.int64)
         crown = [b""] * 4
@@ -269,6 +274,7 @@ def answers(need: DataFrame, trees: DataFrame, parts: DataFrame, crown: ctw.Crow
         return ctw.walk(shared.value.mixture(short.grams).take(at), depths, ups).log10()
 
     def reply(asked: pa.Table, tree: pa.Table) -> pa.Table:
+        release()
         blocks, kinds, out_keys, out_values = [], [], [], []
         if asked.num_rows and tree.num_rows:
             kind = tree.column("kind")[0].as_py()
@@ -333,6 +339,11 @@ class Totals:
 
 def scored(held: DataFrame, replies: DataFrame, totals: Totals, tasks: int) -> DataFrame:
     def score(texts: pa.Table, model: pa.Table) -> pa.Table:
+        out = of_block(texts, model)
+        release()
+        return out
+
+    def of_block(texts: pa.Table, model: pa.Table) -> pa.Table:
         cols: list[list] = [[] for _ in range(7)]
         if texts.num_rows:
             found = []
